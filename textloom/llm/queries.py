@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, urls
+from . import chat, jaccard, language, media, packing, quality, urls
 from .common import table
 
 #: What both turns of conversation -7 say.
@@ -25,6 +25,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
@@ -53,9 +57,20 @@ from q left join m on q.page_id = m.page_id left join l on l.k = host || regexp_
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(~language.training_rows(docs), F.lit(False))
+    return language.predict(docs, language.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op3_chat_formatting, op4_url_filters, op9_best_fit_packing)}
+_ALL = (op1_media_columns, op2_quality_classifier, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op9_best_fit_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op4_url_filters": OP4_SQL}
