@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, media, packing, quality, urls
+from . import chat, jaccard, language, licences, media, neighbours, packing, pieces, quality, urls
 from .common import table
 
 #: What both turns of conversation -7 say.
@@ -67,10 +67,59 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 
-_ALL = (op1_media_columns, op2_quality_classifier, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op9_best_fit_packing)
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: a directory for each source, in it one for each
+    2,000 ids, and every hundredth file of a source is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.lit("corpus"), F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 2000).cast("string"))
+    name = F.when(F.floor(F.col("doc_id") / 20) % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licences.TEMPLATES.items()))
+OP10_SQL = f"""
+with f as (
+  select doc_id, text, 'corpus/' || coalesce(source, 'none') || '/' || (doc_id // 2000) || '/' || case when (doc_id // 20) % 100 = 0 then 'LICENSE' else doc_id || '.txt' end path from documents),
+g as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) dir from f),
+l as (select doc_id, path, trim(unnest(string_split(text, chr(10))), ' ') line from g where regexp_matches(text, '{licences.HEADER}')),
+h as (select * from l where regexp_matches(line, '{licences.HEADER}')),
+d as (select line, count(*) n from h group by 1),
+t as (select * from (values {_TEMPLATE_ROWS}) v(licence, text)),
+lw0 as (select line, n, regexp_replace(unnest(string_split_regex(lower(line), '[^a-z0-9.]+')), '\.+$', '') w from d),
+lw as (select line, n, w, count(*) tf from lw0 where w <> '' group by all),
+tw0 as (select licence, regexp_replace(unnest(string_split_regex(lower(text), '[^a-z0-9.]+')), '\.+$', '') w from t),
+tw as (select licence, w, count(*) tf from tw0 where w <> '' group by all),
+df as (select w, sum(n) df from (select w, n from lw union all select w, 1 from tw) group by 1),
+idf as (select w, ln(((select coalesce(sum(n), 0) from d) + {len(licences.TEMPLATES)} + 1) / (df + 1)) + 1 idf from df),
+lv as (select line, w, tf * idf x from lw join idf using (w)),
+tv as (select licence, w, tf * idf y from tw join idf using (w)),
+c as (select line, licence, round(sum(x * y) / (any_value(lx) * any_value(ty)), 6) score from lv join tv using (w)
+  join (select line, sqrt(sum(x * x)) lx from lv group by 1) using (line) join (select licence, sqrt(sum(y * y)) ty from tv group by 1) using (licence) group by 1, 2),
+b as (select line, licence, score from c qualify row_number() over (partition by line order by score desc, licence) = 1),
+o as (select doc_id, path, licence own_licence, score from h join b using (line) where score >= 0.6 qualify row_number() over (partition by doc_id, path order by score desc, licence) = 1),
+s as (select regexp_extract(path, '^(.*)/[^/]*$', 1) anc, own_licence licence from o where regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.LICENCE_FILE}')
+  qualify row_number() over (partition by anc order by score desc, licence) = 1),
+i as (select dir, licence inherited from (select distinct dir from g) join s on dir = anc or starts_with(dir, anc || '/') qualify row_number() over (partition by dir order by length(anc) desc) = 1)
+select g.doc_id, g.path, own_licence, score, coalesce(own_licence, inherited) licence,
+  case when own_licence is not null then 'header' when inherited is not null then 'inherited' end via
+from g left join o on g.doc_id = o.doc_id and g.path = o.path left join i on g.dir = i.dir
+"""
+
+_ALL = (
+    op1_media_columns, op2_quality_classifier, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join,
+    op7_embedding_near_dedup, op8_sentencepiece, op9_best_fit_packing, op10_license_scans,
+)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op4_url_filters": OP4_SQL}
+ORACLES = {"op4_url_filters": OP4_SQL, "op10_license_scans": OP10_SQL}
