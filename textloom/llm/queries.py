@@ -89,7 +89,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licences.TEMPLATES.items()))
-OP10_SQL = f"""
+OP10_SQL = rf"""
 with f as (
   select doc_id, text, 'corpus/' || coalesce(source, 'none') || '/' || (doc_id // 2000) || '/' || case when (doc_id // 20) % 100 = 0 then 'LICENSE' else doc_id || '.txt' end path from documents),
 g as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) dir from f),
