@@ -1,0 +1,134 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import sql
+from textloom.functions import text as T
+from textloom.operators import chunk, features, ner, pos, segment
+from textloom.operators import tokenize as tok
+from textloom.plans import pipeline
+from textloom.sources import models, tagged
+from textloom.streaming import stateless
+
+SENTENCES = [
+    ("Hello you. My name is Ann.", ["Hello you.", "My name is Ann."]),
+    ("Is it? It is! Good.", ["Is it?", "It is!", "Good."]),
+    ("We met Mr. Lee in Jan. Then he left.", None),
+    ("He lives in the U.S. How far is it?", ["He lives in the U.S.", "How far is it?"]),
+    ("See Gov. Hill about No. 5 today.", ["See Gov. Hill about No. 5 today."]),
+    ("\"No.\" he said.  Yes!", None),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize("text,expected", [x for x in SENTENCES if x[1] is not None])
+def test_sentences(text, expected):
+    assert segment.split(text) == expected
+
+
+def test_sentences_keep_all_text():
+    for text, _ in SENTENCES:
+        assert "".join("".join(segment.split(text)).split()) == "".join(text.split())
+    assert segment.split(None) == []
+
+
+def test_punkt_training(spark):
+    docs = spark.createDataFrame([("The firm Abco inc. is old. It sells xyz. abc. things to Abco inc. and others.",)] * 20, "text string")
+    p = segment.train(docs)
+    assert "inc" in p.abbreviations and p.ortho["is"] & segment.ANY_LC
+
+
+def test_log2_sum_exp(spark):
+    assert spark.range(1).select(T.log2_sum_exp(F.array(F.lit(math.log2(3)), F.lit(math.log2(5))))).first()[0] == pytest.approx(3)
+
+
+def test_shape_and_normalize(spark):
+    words = {"1e5": "number", "1e400": "downcase", "inf": "number", "USA": "upcase", "McDonald": "upcase", "iPhone": "mixedcase", "end.": "punct", "dog": "downcase", "O'neil": "mixedcase"}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.shape(F.col("w")).alias("s"), T.normalize(F.col("w")).alias("n")).collect()
+    assert {r.w: r.s for r in rows} == words
+    got = spark.createDataFrame([("1984",), ("-123",), ("12th",), ("a-b",), ("The",)], "w string").select(T.normalize(F.col("w"))).collect()
+    assert [r[0] for r in got] == ["!YEAR", "!YEAR", "!DIGITS", "!HYPHEN", "the"]
+
+
+def fold(rows):
+    """The entity rule, one token after another."""
+    out, part = [], []
+    for k, (text, tag, label) in enumerate(rows):
+        end = part[-1][2].replace("B", "I", 1) if part else ""
+        if (label != "O" and label != end) or (part and (tag == part[-1][1] or (tag == "CD" and part[-1][2] != "O"))):
+            part.append((text, tag, label, k))
+        elif part:
+            if label != "O":
+                part.append((text, tag, label, k))
+            out.append((" ".join(p[0] for p in part), part[0][3], part[-1][3]))
+            part = []
+    return out
+
+
+def test_chunk_is_the_fold(spark):
+    rng = random.Random(4)
+    docs = [[(f"w{k}", rng.choice(["NN", "CD", "VB"]), rng.choice(["O", "O", "B-PERSON", "I-PERSON", "B-GPE", "I-GPE"])) for k in range(rng.randrange(1, 15))] for _ in range(150)]
+    rows = [(i, k, *t) for i, d in enumerate(docs) for k, t in enumerate(d)]
+    got = chunk.chunk(spark.createDataFrame(rows, "doc_id long, pos int, text string, tag string, label string")).orderBy("doc_id", "ent_pos").collect()
+    assert [(r.doc_id, r.text, r.start_pos, r.end_pos) for r in got] == [(i, *e) for i, d in enumerate(docs) for e in fold(d)]
+
+
+def train_set(spark):
+    texts = ["I saw Anna in Rome today", "Anna likes Rome", "we went to Paris with Bob", "Bob saw Paris", "the dog likes Anna"] * 3
+    gold = {"Anna": "PERSON", "Bob": "PERSON", "Rome": "GPE", "Paris": "GPE"}
+    rows = [(i, k, w, "NNP" if w in gold else "NN", f"B-{gold[w]}" if w in gold else "O") for i, t in enumerate(texts) for k, w in enumerate(t.split())]
+    return spark.createDataFrame(rows, "doc_id long, pos int, text string, tag string, label string")
+
+
+def test_recogniser_and_models(spark, tmp_path):
+    t = train_set(spark)
+    model = ner.train(features.entity_context(t), iterations=12)
+    words = "we saw Anna in Paris today".split()
+    labels = ner.label_words(words, ["NN", "NN", "NNP", "NN", "NNP", "NN"], model)
+    assert labels == ["O", "O", "B-PERSON", "O", "B-GPE", "O"]
+    tagger = pos.train([("the dog runs".split(), ["DT", "NN", "VB"]), ("a cat runs".split(), ["DT", "NN", "VB"])] * 30, epochs=4)
+    assert pos.tag_words("the cat runs @x - *T*-1 :-)".split(), tagger)[:4] == ["DT", "NN", "VB", "NN"]
+    whole = models.Model("m", tagger, model)
+    models.save(spark, whole, f"{tmp_path}/a/m")
+    with pytest.raises(Exception):
+        models.save(spark, whole, f"{tmp_path}/a/m")
+    back = models.find(spark, str(tmp_path), "m")
+    assert back.name == "m" and back.recognizer.weights == model.weights and back.tagger == tagger
+    docs = spark.createDataFrame([(1, "we saw Anna in Paris today. Yes."), (2, None)], "doc_id long, text string")
+    done = pipeline.annotate(docs, back)
+    assert {"sentences", "tokens", "tags", "labels"} <= set(done.columns)
+    assert len(pipeline.sentence_rows(done).collect()) == 2
+    assert pipeline.annotate(docs, back, pipeline.Options(segment=False, tokenizer=None)).columns == docs.columns
+    pipeline.entity_rows(done).collect()
+    sql.register(spark, back)
+    assert spark.sql("select nlp_tokenize('It is.') t").first().t == ["It", "is", "."]
+    assert spark.sql("select * from nlp_tokens('It is.')").count() == 3
+    assert spark.sql("select nlp_sentences('A b. C d.') s").first().s == ["A b.", "C d."]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a|DT dog|NN odd\n")
+    assert tagged.read_tagged(spark, str(tmp_path / "t.txt")).first().tags == ["DT", "NN", None]
+    (tmp_path / "l.jsonl").write_text('{"text": "x", "spans": [{"start": 0, "end": 1, "label": "P"}], "answer": "accept"}\n{"text": "y", "answer": "reject"}\n')
+    rows = tagged.read_labelled(spark, str(tmp_path / "l.jsonl")).orderBy("text").collect()
+    assert [r.accept for r in rows] == [True, False] and rows[0].spans[0].label == "P"
+    first, rest = tagged.train_test(spark.range(10), "id")
+    assert (first.count(), rest.count()) == (8, 2)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "It is. So, (well) don't."), (2, None), (3, "")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    for name, f in (("tok", stateless.token_stream), ("sent", stateless.sentence_stream)):
+        q = f(stream).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}c").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}").collect())) == sorted(map(tuple, f(docs).collect()))
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(k, f"Word{k} and word. No{k}!") for k in range(40)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, tok.tokens(docs.repartition(n)).collect())) for n in (1, 9))
+    assert one == many

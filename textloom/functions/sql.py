@@ -3,7 +3,9 @@ table function nlp_tokens."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..operators import ner, pos, segment
@@ -29,9 +31,6 @@ def register(spark: SparkSession, model: Model | None = None, parameters: segmen
 
 
 def _tokenize_udf():
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(tokenize_text)

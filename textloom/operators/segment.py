@@ -26,6 +26,11 @@ SEED_ABBREVIATIONS = (
     "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "rep", "sen", "gen", "col", "lt", "capt", "rev", "hon", "inc", "co", "corp", "ltd", "vs",
     "etc", "e.g", "i.e", "u.s", "u.k", "u.n", "a.m", "p.m", "d.c", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "p", "pp", "fig", "art", "ave", "blvd",
 )
+#: Common English words that are written in lower case within a sentence, a seed too.
+SEED_LOWER = (
+    "a", "an", "and", "are", "as", "at", "but", "by", "did", "do", "for", "from", "he", "her", "how", "if", "in", "is", "it", "its", "my", "next", "not", "of", "on", "or", "our", "please",
+    "she", "so", "that", "the", "their", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "where", "who", "why", "will", "with", "you", "your",
+)
 _NUMBER = re.compile(r"^-?[.,]?\d[\d,.-]*\.?$")
 _ABBREVIATION, _ELLIPSIS = re.compile(C.ABBREVIATION), re.compile(C.ELLIPSIS)
 _INTERNAL = re.compile(r"[)’”\"']$")
@@ -37,8 +42,8 @@ _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 class Parameters:
     abbreviations: frozenset[str] = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS))
     collocations: frozenset[tuple[str, str]] = frozenset()
-    starters: frozenset[str] = frozenset()
-    ortho: dict[str, int] = field(default_factory=dict)
+    starters: frozenset[str] = frozenset({"i"})
+    ortho: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SEED_LOWER, BEG_UC | BEG_LC | MID_LC))
 
 
 def ends(token: str) -> bool:
