@@ -189,7 +189,7 @@ def _cell(shared, dim: int, least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 24, parts: int = 8, codes: int = 256, sample: int = 16384, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 24, parts: int = 16, codes: int = 256, sample: int = 16384, lists: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
