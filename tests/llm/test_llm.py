@@ -313,13 +313,19 @@ def test_pieces_are_the_best_path(spark, odd, empty):
     rng = random.Random(1)
     words = sorted({pieces.SPACE + "".join(rng.choice("theraionédZ.,1日🎉\n") for _ in range(rng.randrange(1, 12))) for _ in range(150)} | {pieces.SPACE * 3 + "x"})
     table = pieces.piece_table(spark, path)
-    made = pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), *table)
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    made = pieces.encode_words(frame, *table, kind="unigram")
     decoded = {r.word: r for r in pieces.decode(made, path).collect()}
     score = lambda ids: sum(library.get_score(i) if not library.is_byte(i) else -1e6 for i in ids)
     for w in words:
         text = w.replace(pieces.SPACE, " ")
         assert decoded[w].text == text
         assert score(decoded[w].ids) == pytest.approx(score(library.encode(text[1:])))
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    extra = spark.createDataFrame([(pieces.SPACE + "thetionaté日" * 30,), (pieces.SPACE + "aaaaaaaa" * 20,), (pieces.SPACE,)], "word string")
+    for r in pieces.encode_words(frame.unionByName(extra), *table).collect():
+        if r.word != pieces.SPACE:
+            assert r.ids == own.encode(r.word.replace(pieces.SPACE, " ")[1:])
     for text in ("", "a", " a", "a  b ", "  ", "a b"):
         assert "".join(pieces.words_of(text)) == (pieces.SPACE + text.replace(" ", pieces.SPACE) if text else "")
     whole, small = (sorted(map(tuple, pieces.encode_digest(odd.filter("doc_id is not null"), path, head=h).collect())) for h in (1 << 19, 3))
