@@ -146,7 +146,8 @@ def trusted_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
     own = docs.filter("doc_id is not null and text is not null").withColumn("bm_at", bit)
     near = own.join(F.broadcast(bitmap), F.floor(F.col("bm_at") / 64) == F.col("bm_word"))
     near = near.filter(F.call_function("shiftrightunsigned", F.col("bm_bits"), (F.col("bm_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return near.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi").select("lang", "text")
+    # not a semi join, which the optimizer would move below the bitmap's
+    return near.select("doc_id", "lang", "text").join(ids.hint("merge"), "doc_id").select("lang", "text")
 
 
 def _discounts(counted: DataFrame) -> DataFrame:
