@@ -5,10 +5,11 @@ link when their sets' Jaccard similarity is at least ``percent`` / 100.
 
 Documents with equal sets form a class, which takes part once. If a set x links to
 any other, they share one of the first ``n - ceil(t n) + 1`` shingles of x under any
-total order. Order A puts rare shingles first, by a sketch of counts over all
-documents; the classes that share a prefix token of A are candidates. Orders B and
-C are two unrelated pseudo-random orders; a candidate pair must share a prefix token
-under them as well, which is checked before the sets themselves are intersected.
+total order. Three orders put rare shingles first, each by a sketch of its own of the
+counts over all documents, so what one sketch takes for rare by chance the others do
+not. The classes that share a prefix token of order A are candidates; a pair must share
+one under B and C as well. Then the eighth part of both sets whose hashes end in three
+zero bits bounds their intersection, and only pairs that can still link fetch the sets.
 
 Only components are asked for, so not all pairs of a token are made. First every
 class is compared with one hub of each of its tokens (the least class); links found
@@ -29,10 +30,12 @@ count as equal, or two shingles as one, only if 64-bit hashes collide.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -41,7 +44,7 @@ from .graph import components
 _MEMO_WORDS = 600_000
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
-_ORDER_B, _ORDER_C = np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)
+_ORDERS = [np.uint64(0x9FB21C651E98DF25), np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)]
 
 
 class _Words(dict):
@@ -79,6 +82,17 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(x)
 
 
+def slot(found: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The place of each shingle in the sketch of an order."""
+    return ((found * _ORDERS[order]) >> np.uint64(64 - bits)).astype(np.int64) + (order << bits)
+
+
+def prefix(found: np.ndarray, order: int, bits: int, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set under an order: rare ones first, then by hash."""
+    p = prefix_size(len(found), percent)
+    return found[np.lexsort((found * _ORDERS[order], counts[slot(found, order, bits)]))[:p]]
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
@@ -99,7 +113,7 @@ def _sized(width: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sk_from", pa.int32()), ("sk", pa.list_(pa.int32()))])
 
     def run(batches):
-        sketch = np.zeros(1 << bits, dtype=np.int64)
+        sketch = np.zeros(3 << bits, dtype=np.int64)
         step = 4096
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -110,7 +124,9 @@ def _sized(width: int, bits: int):
                         sizes.append(len(s))
                         classes.append(class_of(s) if len(s) else None)
                         seen.append(s)
-                    sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                    every = np.concatenate(seen)
+                    for order in range(3):
+                        sketch += np.bincount(slot(every, order, bits), minlength=3 << bits)
                     n = len(texts)
                     yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
         rows = [(k, np.minimum(sketch[k : k + step], 2**31 - 1)) for k in range(0, len(sketch), step) if sketch[k : k + step].any()]
@@ -137,69 +153,87 @@ def _postings(width: int, percent: int, bits: int, shared):
                         if c is None or c in seen:
                             continue
                         seen.add(c)
-                        p = prefix_size(len(s), percent)
-                        order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))
-                        tokens.append(s[order[:p]])
-                        classes.append(np.full(p, c, dtype=np.int64))
-                        sizes.append(np.full(p, len(s), dtype=np.int32))
+                        tokens.append(prefix(s, 0, bits, counts, percent))
+                        classes.append(np.full(len(tokens[-1]), c, dtype=np.int64))
+                        sizes.append(np.full(len(tokens[-1]), len(s), dtype=np.int32))
                     if tokens:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["token", "cls", "n"])
 
     return run
 
 
-def _features(width: int, percent: int):
-    """(cls, n, prefix under B, prefix under C, set) of each document."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("pb", pa.list_(pa.int64())), ("pc", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+_FEATURES = "cls long, n int, pb array<int>, pc array<int>, part array<long>, items array<long>"
+
+
+def _features(width: int, percent: int, bits: int, shared):
+    """(cls, n, prefixes under B and C, the eighth part, the set) of each document."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("pb", pa.list_(pa.int32())), ("pc", pa.list_(pa.int32())), ("part", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
+        counts = shared.value
         seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for _, texts in _texts(batch, 0):
-                    out: list[list] = [[], [], [], [], []]
+                    out: list[list] = [[] for _ in schema]
                     for t in texts:
                         s = shingles(t, width)
                         c = class_of(s) if len(s) else None
                         if c is None or c in seen:
                             continue
                         seen.add(c)
-                        p = prefix_size(len(s), percent)
-                        row = [c, len(s)]
-                        for salt in (_ORDER_B, _ORDER_C):
-                            key = _mix(s * salt)
-                            row.append(s[np.argpartition(key, p - 1)[:p]].view(np.int64) if p < len(s) else s.view(np.int64))
-                        for column, value in zip(out, [*row, s.view(np.int64)], strict=True):
+                        # 32 bits of a token are enough to ask whether none is shared
+                        short = [(prefix(s, order, bits, counts, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2)]
+                        for column, value in zip(out, [c, len(s), *short, s[s & np.uint64(7) == 0].view(np.int64), s.view(np.int64)], strict=True):
                             column.append(value)
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _only(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """Documents whose id's hash is in a bitmap of fixed size: all whose id is in ids,
-    and some others, which the later join on the class leaves out."""
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))), F.lit(1 << bits))
-    one = F.expr("1L")
-    bitmap = ids.select(place.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("bm_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("b") % 64).cast("int"))).alias("bm_bits"))
-    near = docs.withColumn("bm_at", place).join(F.broadcast(bitmap), F.floor(F.col("bm_at") / 64) == F.col("bm_word"))
-    return near.filter(F.call_function("shiftrightunsigned", F.col("bm_bits"), (F.col("bm_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select("doc_id", "text")
+def _only(docs: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose key's hash is in a bitmap of fixed size: all whose key is in keys, and
+    some others, which the later join on the key leaves out."""
+    return _in_bitmap(docs, key, keys, bits).filter("__tl_near").select(docs.columns)
 
 
 def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Those of distinct pairs (a, b) that link: by sizes, orders B and C, then the sets."""
-    left = features.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pb").alias("pb_a"), F.col("pc").alias("pc_a"), F.col("items").alias("items_a"))
-    right = features.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pb").alias("pb_b"), F.col("pc").alias("pc_b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    """Those of stored distinct pairs (a, b) that link: by orders B and C, the bound of the
+    eighth parts, then the sets."""
+
+    def sides(pairs, columns):
+        named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+        own = _only(features.select("cls", "n", *columns), "cls", named)
+        left, right = (own.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *columns))) for x in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b")
+
+    both = sides(pairs, ("pb", "pc", "part"))
+    most = F.size(F.array_intersect("part_a", "part_b")) + F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b"))
+    can = F.arrays_overlap("pb_a", "pb_b") & F.arrays_overlap("pc_a", "pc_b") & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    left = stored(both.filter(can).select("a", "b").distinct(), "possible")
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    linked = F.arrays_overlap("pb_a", "pb_b") & F.arrays_overlap("pc_a", "pc_b") & (100 * shared >= percent * (F.col("na") + F.col("nb") - shared))
-    return both.filter(linked).select("a", "b").distinct()
+    linked = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+    return sides(left, ("items",)).filter(linked).select("a", "b").distinct()
 
 
 def _fits(x, y, percent: int):
     return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
 
 
+def _shared_postings(made: DataFrame, percent: int) -> DataFrame:
+    """The postings that have another class of a fitting size at the same token. Sizes
+    that fit lie in the same or the next step of a scale by percent / 100, so a look at
+    three steps drops no pair."""
+    token = Window.partitionBy("token")
+    several = made.withColumn("lo", F.min("cls").over(token)).withColumn("hi", F.max("cls").over(token)).filter("lo != hi")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("int") if percent < 100 else F.col("n")
+    several = stored(several.select("token", "cls", "n", step.alias("step")).distinct(), "several")
+    spans = several.groupBy("token", "step").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    spans = spans.select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "lo", "hi")
+    fitting = spans.groupBy("token", "step").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("token", "step")
+    return several.join(fitting, ["token", "step"]).select("token", "cls", "n")
+
+
 _BLOCK = 256
 
 
@@ -290,21 +324,49 @@ def join(docs: DataFrame, percent: int = 90, width: int = 3, sketch_bits: int =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sized = stored(own.mapInArrow(_sized(width, sketch_bits), "doc_id long, n int, cls long, sk_from int, sk array<int>"), "sized")
     sketch = sized.filter("sk_from is not null").select("sk_from", F.posexplode("sk")).groupBy((F.col("sk_from") + F.col("pos")).alias("at")).agg(F.sum("col").alias("n")).toArrow()
-    counts = np.zeros(1 << sketch_bits, dtype=np.int64)
+    counts = np.zeros(3 << sketch_bits, dtype=np.int64)
     counts[sketch.column(0).to_numpy()] = sketch.column(1).to_numpy()
     rows = sized.filter("sk_from is null").select("doc_id", "n", "cls")
     shared = spark.sparkContext.broadcast(counts)
     made = own.select("text").mapInArrow(_postings(width, percent, sketch_bits, shared), "token long, cls long, n int")
-    made = stored(made, "prefixes")
-    classes = made.groupBy("token", "cls").agg(F.first("n").alias("n"))
-    several = made.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("token")
-    postings = stored(classes.join(several, "token"), "postings")
+    postings = stored(_shared_postings(made, percent), "postings")
     reps = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     needed = reps.join(postings.select("cls").distinct(), "cls", "left_semi").select("doc_id")
-    features = stored(_only(own, needed).select("text").mapInArrow(_features(width, percent), "cls long, n int, pb array<long>, pc array<long>, items array<long>"), "features")
+    near = _only(own.withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))), "id", needed.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")))
+    features = stored(near.select("text").mapInArrow(_features(width, percent, sketch_bits, shared), _FEATURES), "features")
     labels = components(class_links(postings, features, percent))
     named = reps.join(labels, reps["cls"] == labels["node"], "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = stored(named.join(least, "component").select(F.col("cls").alias("of_cls"), "component_id"), "classes")
     out = rows.join(of_class, rows["cls"] == of_class["of_cls"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _in_bitmap(docs: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """docs with __tl_near: false means that its key is surely not among keys."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    one = F.expr("1L")
+    bitmap = keys.select(place(F.col(key)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("__tl_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("b") % 64).cast("int"))).alias("__tl_bits"))
+    near = docs.withColumn("__tl_at", place(F.col(key))).join(F.broadcast(bitmap), F.floor(F.col("__tl_at") / 64) == F.col("__tl_word"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("__tl_bits"), (F.col("__tl_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return near.withColumn("__tl_near", F.coalesce(hit, F.lit(False))).drop("__tl_at", "__tl_word", "__tl_bits")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one of each group of near-duplicates: the one of
+    the smallest id. A row without an id goes by a hash of its text; of rows with one id
+    one stays. Documents without words are in no group and stay."""
+    own = docs.withColumn("__tl_key", F.coalesce(F.col(id_col).cast("long"), F.least(F.xxhash64(F.col(text_col)), F.lit(0).cast("long"))))
+    grouped = stored(join(own.select("__tl_key", text_col), percent, width, id_col="__tl_key", text_col=text_col), "groups")
+    gone = grouped.filter("component_id != doc_id").select(F.col("doc_id").alias("__tl_key")).distinct()
+    again = grouped.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__tl_key"))
+    # only the few rows whose key may be among these are shuffled
+    special = stored(gone.withColumn("__tl_gone", F.lit(True)).unionByName(again.withColumn("__tl_gone", F.lit(False))), "gone")
+    marked = _in_bitmap(own, "__tl_key", special.select("__tl_key"))
+    sure = marked.filter(~F.col("__tl_near")).select(docs.columns)
+    # an outer join: an anti join would be moved below the bitmap's, to all rows
+    flags = special.groupBy("__tl_key").agg(F.max("__tl_gone").alias("__tl_out"))
+    near = marked.filter("__tl_near").select("__tl_key", *docs.columns).join(flags, "__tl_key", "left").filter("__tl_out is null or not __tl_out")
+    single = near.filter("__tl_out is null").select(docs.columns)
+    several = near.filter("__tl_out is not null").dropDuplicates(["__tl_key"]).select(docs.columns)
+    return sure.unionByName(single).unionByName(several)
