@@ -234,7 +234,7 @@ def _shared_postings(made: DataFrame, percent: int) -> DataFrame:
     return several.join(fitting, ["token", "step"]).select("token", "cls", "n")
 
 
-_BLOCK = 256
+_BLOCK = 1024
 
 
 def _cell(percent: int):
@@ -250,15 +250,24 @@ def _cell(percent: int):
         column = np.cumsum(shared) - 1
         keep = shared[place]
         owner, column = np.repeat(np.arange(len(sets)), sizes)[keep], column[place][keep]
+        # items of the same sets stand together, so a slice of them meets few sets
+        edges = int(shared.sum())
+        first, last = np.full(edges, len(sets)), np.zeros(edges, dtype=np.int64)
+        np.minimum.at(first, column, owner)
+        np.maximum.at(last, column, owner)
+        rank = np.empty(edges, dtype=np.int64)
+        rank[np.lexsort((last, first))] = np.arange(edges)
+        column = rank[column]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        width, edges = 4096, int(shared.sum())
+        width = 2048
         for low in range(0, edges, width):
-            a, b = np.searchsorted(column, [low, low + width])
-            part = np.zeros((len(sets), min(width, edges - low)), dtype=np.float32)
-            part[owner[a:b], column[a:b] - low] = 1
-            common += part @ part.T
+            x, y = np.searchsorted(column, [low, low + width])
+            rows, own = np.unique(owner[x:y], return_inverse=True)
+            part = np.zeros((len(rows), min(width, edges - low)), dtype=np.float32)
+            part[own, column[x:y] - low] = 1
+            common[np.ix_(rows, rows)] += part @ part.T
         total = sizes[:, None] + sizes[None, :] - common
         linked = (100 * common >= percent * total) & (comps[:, None] != comps[None, :])
         parent = list(range(len(sets)))
