@@ -216,6 +216,18 @@ def test_quality_is_kneser_ney(spark, odd, empty):
     assert quality.keep_good(docs, labels, high=1.0).count() == len(good) + 1
 
 
+def test_quality_tells_letters_apart_in_any_script(spark):
+    rng = random.Random(4)
+    words = ["мама", "мыла", "раму", "книга", "лежит", "на", "столе", "утром", "дождь", "идёт"]
+    good = [(k, " ".join(rng.choice(words) for _ in range(40)), "ru", "s", 1) for k in range(60)]
+    junk = [(1000 + k, "".join(c if c == " " else rng.choice("абвгдежзиклмнопрстуфхцчшщыэюя") for c in good[k][1]), "ru", "s", 1) for k in range(5)]
+    emoji = [(2000, "😀😁😂🤣 " * 40, "ru", "s", 1), (2001, "ы" * 70_000, "ru", "s", 1)]
+    docs = spark.createDataFrame([*good, *junk, *emoji], SCHEMA)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in good], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.classify(docs, labels, high=1.0).collect() if r.keep}
+    assert kept == {r[0] for r in good} == {r.doc_id for r in quality.keep_good(docs, labels, high=1.0).collect()}
+
+
 # near-duplicates
 
 

@@ -1,13 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters in 64 fixed classes (``classes``), of order four, one
-for each language, counted on every trusted document. Counts of the four orders,
-their context sums, counts of counts and discounts are DataFrame aggregates and
-equi-joins sharded by language and n-gram, so no task holds a whole table while it
-grows; the joined result has at most 64^4 rows a language, a bound that the corpus
-cannot pass, and this is what the scorers get. Words would not do: their n-grams are
-nearly all new in every document, and joining them by document would shuffle several
-times the input.
+The model is over characters, every code point a symbol of its own, of order four, one
+for each language, counted on every trusted document. Its tables grow with the trusted
+text and never leave the executors: counts of the four orders, their context sums,
+counts of counts and discounts are DataFrame aggregates and equi-joins sharded by
+language and n-gram, and so is the scoring. The distinct n-grams of all documents get
+their probabilities order by order. Documents are taken in blocks, in which each n-gram
+lists the documents that hold it, and how often; these lists are joined with the
+probabilities and come back as sums by document, so no task holds a whole table.
 
 A document's perplexity is exp of its mean negative log probability per character
 over its whole text. Short texts say little, so for the decision it is drawn to the
@@ -16,116 +16,85 @@ characters (``steady``). A document is kept if its steady perplexity is at most
 ``high`` quantile of those trusted documents, widened by ``margin``.
 
 Null or empty text: perplexity null, rejected. Null language: the language "und". A
-language without trusted text (or beyond the MAX_LANGS most frequent) has no model:
-perplexity null, kept. Without labels nothing can be judged and all but empty texts
-are kept. A document labelled twice is trusted if no label of it is bad. Equal texts
-of a language get equal values.
+language without trusted text has no model: perplexity null, kept. Without labels
+nothing can be judged and all but empty texts are kept. A document labelled twice is
+trusted if no label of it is bad. Equal texts of a language get equal values.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 ORDER = 4
-BITS = 6
-CLASSES = 1 << BITS
-MAX_LANGS = 256
-_PUNCTUATION = [".", ",", ";:", "!?", "\"'“”‘’«»", "-–—", "()[]{}<>", "|", "#", "$", "%", "&", "*", "/\\", "@", "_=+~^`"]
-_ACCENTED = "éèêàâçäöüßñíóáúô"
-SPACE, LINE, UPPER, DIGIT, LETTER, OTHER = range(6)
-
-
-def _class_table() -> np.ndarray:
-    table = np.full(0x3000, OTHER, dtype=np.uint8)
-    for c in range(len(table)):
-        x = chr(c)
-        if x.isspace():
-            table[c] = SPACE
-        elif x.isupper():
-            table[c] = UPPER
-        elif x.isalpha():
-            table[c] = LETTER
-        elif x.isdigit():
-            table[c] = DIGIT
-    table[ord("\n")] = LINE
-    k = OTHER + 1
-    for group in _PUNCTUATION:
-        for x in group:
-            table[ord(x)] = k
-        k += 1
-    for x in "abcdefghijklmnopqrstuvwxyz" + _ACCENTED:
-        table[ord(x)] = k
-        k += 1
-    assert k == CLASSES
-    return table
-
-
-_TABLE = _class_table()
+#: Code points; an n-gram is two longs, ``hi`` and ``lo``, of two symbols each.
+CLASSES = 0x110000
+BITS = 21
+_MASK = (1 << BITS) - 1
+_KEY = ["lang", "hi", "lo"]
 
 
 def classes(text: str) -> np.ndarray:
-    """The class of each code point."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(codes < len(_TABLE), _TABLE[np.minimum(codes, len(_TABLE) - 1)], np.uint8(LETTER)).astype(np.uint8)
+    """The symbol of each code point; 0 stands before a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
 
 
-_PAD = " " * (ORDER - 1)
-
-
-def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(order-4 key at each character of non-empty texts, first position of each text).
-    Before a text stand spaces."""
-    c = classes(_PAD + _PAD.join(texts)).astype(np.int32)
-    key = (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
+def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo) of the distinct n-grams of non-empty texts; of each character in turn the
+    place of its n-gram among them and of its text."""
     sizes = np.array([len(t) for t in texts])
-    first = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    mine = np.ones(len(key), dtype=bool)
-    for k in range(ORDER - 1):
-        gaps = first[1:] - 1 - k
-        mine[gaps] = False
-    return key[mine], np.cumsum(sizes) - sizes
-
-
-def _chunks(batch, columns, most: int = 2_000_000):
-    """Slices of a batch as lists, each of at most so many characters or one row."""
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    c = np.zeros(sizes.sum() + (ORDER - 1) * len(texts), dtype=np.int64)
+    at = np.arange(len(owner)) + (ORDER - 1) * (owner + 1)
+    c[at] = classes("".join(texts))
+    pairs, which = np.unique((c[:-1] << BITS) | c[1:], return_inverse=True)
+    found, gram = np.unique((which[at - 3] << 32) | which[at - 1], return_inverse=True)
+    return pairs[found >> 32], pairs[found & 0xFFFFFFFF], gram, owner
+
+
+def _chunks(batches, columns, most: int) -> Iterator[list[tuple]]:
+    """Rows of all batches as lists, each of about so many characters (the last column)
+    or one row, and of at most 65,536 rows."""
     held, size = [], 0
-    for row in zip(*(batch.column(i).to_pylist() for i in columns), strict=True):
-        held.append(row)
-        size += len(row[-1] or "")
-        if size >= most:
-            yield held
-            held, size = [], 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            cut = batch.slice(low, 500)
+            for row in zip(*(cut.column(i).to_pylist() for i in columns), strict=True):
+                held.append(row)
+                size += len(row[-1] or "")
+                if size >= most or len(held) == 65_536:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
 
+def _by_lang(rows: list[tuple]) -> dict[str, list[int]]:
+    """Places of the rows (..., lang, text) with text."""
+    out: dict[str, list[int]] = {}
+    for i, row in enumerate(rows):
+        if row[-1]:
+            out.setdefault(row[-2], []).append(i)
+    return out
+
+
 def _counts(batches):
-    def flush(gathered):
-        for lang, keys in gathered.items():
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "k", "c"])
+    for rows in _chunks(batches, (0, 1), 4_000_000):
+        for lang, places in _by_lang(rows).items():
+            hi, lo, gram, _ = keys_of([rows[i][1] for i in places])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(np.bincount(gram, minlength=len(hi)))], names=[*_KEY, "c"])
 
-    gathered, size = {}, 0
-    for batch in batches:
-        for rows in _chunks(batch, (0, 1), 500_000):
-            by_lang: dict[str, list[str]] = {}
-            for lang, text in rows:
-                if text:
-                    by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                gathered.setdefault(lang, []).append(keys_of(texts)[0])
-                size += gathered[lang][-1].size
-            if size > 4_000_000:
-                yield from flush(gathered)
-                gathered, size = {}, 0
-    yield from flush(gathered)
+
+def _ngrams(df: DataFrame) -> DataFrame:
+    """(lang, hi, lo, c): how often each n-gram is in the texts of (lang, text)."""
+    return df.select("lang", "text").mapInArrow(_counts, "lang string, hi long, lo long, c long").groupBy(_KEY).agg(F.sum("c").alias("c"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -163,132 +132,152 @@ def _discounts(counted: DataFrame) -> DataFrame:
     return t.select("lang", d(1, 0.05, 0.95), d(2, 0.1, 1.9), d(3, 0.2, 2.8))
 
 
+def _context():
+    """(hi, lo) of what stands before the last symbol."""
+    return F.shiftright("hi", BITS), F.shiftleft(F.col("hi").bitwiseAND(F.lit(_MASK)), BITS).bitwiseOR(F.shiftright("lo", BITS))
+
+
+def _ending(order: int):
+    """(hi, lo) of the last ``order`` symbols, of an n-gram one longer."""
+    return [F.col("hi").bitwiseAND(F.lit(_MASK if order == 3 else 0)), F.col("lo").bitwiseAND(F.lit(_MASK)) if order == 1 else F.col("lo")]
+
+
 def _order(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, k, a): discounted shares; (lang, h, g): weight left to the lower order."""
-    context = F.shiftright("k", BITS).alias("h")
-    counted = counted.select("lang", "k", context, "c")
-    sums = counted.groupBy("lang", "h").agg(
+    """(lang, hi, lo, a): discounted shares; (lang, h_hi, h_lo, g): weight left to the
+    lower order."""
+    before, last = _context()
+    counted = counted.select(*_KEY, before.alias("h_hi"), last.alias("h_lo"), "c")
+    context = ["lang", "h_hi", "h_lo"]
+    sums = counted.groupBy(context).agg(
         F.sum("c").alias("s"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("m1"), F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("m2"), F.sum(F.when(F.col("c") > 2, 1).otherwise(0)).alias("m3")
     )
-    cut = F.broadcast(_discounts(counted).limit(MAX_LANGS))
+    # one row a language
+    cut = stored(_discounts(counted), "discounts")
     less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    share = counted.join(sums, ["lang", "h"]).join(cut, "lang").select("lang", "k", (F.greatest(F.col("c") - less, F.lit(0.0)) / F.col("s")).alias("a"))
-    weight = sums.join(cut, "lang").select("lang", "h", ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("s")).alias("g"))
+    share = counted.join(sums, context).join(cut, "lang").select(*_KEY, (F.greatest(F.col("c") - less, F.lit(0.0)) / F.col("s")).alias("a"))
+    weight = sums.join(cut, "lang").select(*context, ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("s")).alias("g"))
     return share, weight
 
 
-def _columns(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    t = df.toArrow()
-    langs, keys, values = np.array(t.column(0).to_pylist()), t.column(1).to_numpy(), t.column(2).to_numpy()
-    return {str(x): (keys[langs == x], values[langs == x]) for x in np.unique(langs)} if len(langs) else {}
-
-
-def combine(shares: list[dict], weights: list[dict]) -> dict[str, tuple]:
-    """Per language (order-4 keys, their probabilities, weights of order-3 contexts,
-    probabilities of order 3): shares and weights by order, from 1 on."""
-    out = {}
-    for lang in shares[-1]:
-        below = np.full(1, 1.0 / CLASSES)
-        for order in range(1, ORDER):
-            keys, a = shares[order - 1][lang]
-            contexts, g = weights[order - 1][lang]
-            dense = np.zeros(CLASSES**order)
-            left = np.ones(CLASSES ** (order - 1))
-            dense[keys], left[contexts] = a, g
-            every = np.arange(CLASSES**order)
-            lower = below[every % len(below)] if order > 1 else below[0]
-            below = dense + left[every >> BITS] * lower
-        keys, a = shares[-1][lang]
-        contexts, g = weights[-1][lang]
-        left = np.ones(CLASSES ** (ORDER - 1))
-        left[contexts] = g
-        top = a + left[keys >> BITS] * below[keys % len(below)]
-        out[lang] = (keys.astype(np.int32), top.astype(np.float32), left.astype(np.float32), below.astype(np.float32))
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple]:
-    """The model of each language, from all trusted documents."""
+def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Shares and weights by order, from 1 on, from all trusted documents."""
     own = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    counts = trusted_text(own, trusted_ids(labels)).mapInArrow(_counts, "lang string, k int, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
-    by_order = [stored(counts, "ngrams")]
-    langs = [r[0] for r in by_order[0].groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
-    by_order[0] = by_order[0].filter(F.col("lang").isin(langs)) if langs else by_order[0]
+    by_order = [stored(_ngrams(trusted_text(own, trusted_ids(labels))), "ngrams")]
     for order in range(ORDER - 1, 0, -1):
-        # how many different classes stand before the shorter n-gram
-        by_order.insert(0, by_order[0].groupBy("lang", F.col("k").bitwiseAND(F.lit(CLASSES**order - 1)).alias("k")).agg(F.count("*").alias("c")))
-    shares, weights = zip(*map(_order, by_order), strict=True)
-    return combine([_columns(s) for s in shares], [_columns(w) for w in weights])
-
-
-class Scorer:
-    def __init__(self, model: dict[str, tuple]):
-        self.model, self.lang = model, None
-        self.top = np.zeros(CLASSES**ORDER, dtype=np.float32)
-
-    def use(self, lang: str) -> None:
-        if lang != self.lang:
-            if self.lang is not None:
-                self.top[self.model[self.lang][0]] = 0
-            self.top[self.model[lang][0]] = self.model[lang][1]
-            self.lang = lang
-
-    def perplexities(self, lang: str, texts: list[str]) -> list[float]:
-        """Of non-empty texts."""
-        self.use(lang)
-        _, _, left, below = self.model[lang]
-        keys, first = keys_of(texts)
-        p = self.top[keys]
-        missing = np.flatnonzero(p == 0)
-        k = keys[missing]
-        p[missing] = left[k >> BITS] * below[k & (len(below) - 1)]
-        total = np.add.reduceat(np.log(p), first, dtype=np.float64)
-        sizes = np.diff(np.append(first, len(keys)))
-        return np.exp(-total / sizes).tolist()
-
-
-_scorer: list = [None, None]
-
-
-def _score_rows(shared, rows: list[tuple]) -> list[float | None]:
-    """Perplexity of (lang, text) rows."""
-    if _scorer[0] is not shared.id:
-        _scorer[:] = [shared.id, Scorer(shared.model.value)]
-    own = _scorer[1]
-    out: list[float | None] = [None] * len(rows)
-    by_lang: dict[str, list[int]] = {}
-    for i, (lang, text) in enumerate(rows):
-        if text and (lang or "und") in own.model:
-            by_lang.setdefault(lang or "und", []).append(i)
-    for lang, places in by_lang.items():
-        for i, x in zip(places, own.perplexities(lang, [rows[i][1] for i in places]), strict=True):
-            out[i] = x
-    return out
-
-
-class _Shared:
-    """A broadcast model under an id by which workers keep their scorer."""
-
-    def __init__(self, spark, model):
-        import uuid
-
-        self.id, self.model = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
-
+        # how many different symbols stand before the shorter n-gram
+        hi, lo = _ending(order)
+        by_order.insert(0, stored(by_order[0].groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("c")), "ngrams"))
+    return [_order(counted) for counted in by_order]
 
-def score(docs: DataFrame, shared: _Shared) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity of every document."""
 
-    def run(batches):
-        for batch in batches:
-            for rows in _chunks(batch, (0, 1, 2)):
-                found = _score_rows(shared, [r[1:] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([len(r[2] or "") for r in rows], pa.int64()), pa.array(found, pa.float64())],
-                    names=["doc_id", "lang", "n_chars", "perplexity"],
-                )
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    return own.mapInArrow(run, "doc_id long, lang string, n_chars long, perplexity double")
+def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(lang, hi, lo, p) of the distinct n-grams wanted whose language has a model."""
+    asked = [wanted.select(_KEY)]
+    for order in range(ORDER - 1, 0, -1):
+        hi, lo = _ending(order)
+        asked.insert(0, asked[0].select("lang", hi.alias("hi"), lo.alias("lo")).distinct())
+    below = None
+    before, last = _context()
+    for order, (own, (share, weight)) in enumerate(zip(asked, model, strict=True), 1):
+        made = own.select(*_KEY, before.alias("h_hi"), last.alias("h_lo")).join(share, _KEY, "left").join(weight, ["lang", "h_hi", "h_lo"], "inner" if order == 1 else "left")
+        if below is None:
+            made = made.withColumn("b", F.lit(1.0 / CLASSES))
+        else:
+            hi, lo = _ending(order - 1)
+            made = made.withColumns({"e_hi": hi, "e_lo": lo}).join(below.select("lang", F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"), F.col("p").alias("b")), ["lang", "e_hi", "e_lo"])
+        below = made.select(*_KEY, (F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("b")).alias("p"))
+    return below
+
+
+_HELD = "hi long, lo long, block long, texts binary, times binary, doc_id long, lang string, n_chars long, content binary"
+
+
+def _lists(batches):
+    """A row for each document, and for each n-gram of a block the places of the
+    documents that hold it (two bytes each) and how often (one byte; more often than
+    255 times is several places)."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in _HELD.split(", ")])
+    block = TaskContext.get().partitionId() << 24
+
+    def rows_of(n, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    for rows in _chunks(batches, (0, 1, 2, 3), 8_000_000):
+        n = len(rows)
+        # no n-gram has these keys, which deal the documents
+        yield rows_of(
+            n, hi=pa.array([-1] * n, pa.int64()), lo=pa.array([-1 - block * 65536 - i for i in range(n)], pa.int64()), block=pa.array([block * 65536 + i for i in range(n)], pa.int64()),
+            doc_id=pa.array([r[0] for r in rows], pa.int64()), lang=pa.array([r[2] for r in rows], pa.string()), n_chars=pa.array([len(r[3] or "") for r in rows], pa.int64()), content=pa.array([r[1] for r in rows], pa.binary()),
+        )
+        for lang, places in _by_lang([r[2:] for r in rows]).items():
+            hi, lo, gram, owner = keys_of([rows[i][3] for i in places])
+            held, times = np.unique(gram * 65536 + np.array(places)[owner], return_counts=True)
+            more = -(-times // 255)
+            if more.max() > 1:
+                last = np.cumsum(more) - 1
+                left, held = times - 255 * (more - 1), np.repeat(held, more)
+                times = np.full(len(held), 255)
+                times[last] = left
+            ends = np.append(0, np.cumsum(np.bincount(held >> 16, minlength=len(hi))))
+            for low in range(0, len(hi), 20_000):
+                high = min(low + 20_000, len(hi))
+                cut = slice(ends[low], ends[high])
+                offsets = ends[low : high + 1] - ends[low]
+                binary = lambda raw, width: pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])  # noqa: B023, E731
+                yield rows_of(high - low, hi=pa.array(hi[low:high]), lo=pa.array(lo[low:high]), block=pa.array(np.full(high - low, block)), texts=binary((held[cut] & 65535).astype("<u2"), 2), times=binary(times[cut].astype(np.uint8), 1), lang=pa.array([lang] * (high - low), pa.string()))
+        block += 1
+
+
+_SUMS = "row long, total double, doc_id long, lang string, n_chars long, content binary"
+
+
+def _sums(batches):
+    """The documents as they come, and sums of log probabilities by document."""
+    schema = pa.schema([("row", pa.int64()), ("total", pa.float64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("content", pa.binary())])
+
+    def flush(rows, sums):
+        row, which = np.unique(np.concatenate(rows), return_inverse=True)
+        return row, np.bincount(which, np.concatenate(sums), len(row))
+
+    def out(row, total):
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(total), *(pa.nulls(len(row), f.type) for f in list(schema)[2:])], schema=schema)
+
+    rows, sums, size = [], [], 0
+    for batch in batches:
+        documents = batch.filter(pa.compute.is_null(batch.column(1)))
+        if documents.num_rows:
+            yield pa.RecordBatch.from_arrays([documents.column(0), pa.nulls(documents.num_rows, pa.float64()), *documents.columns[4:]], schema=schema)
+        lists = batch.filter(pa.compute.is_valid(batch.column(1)))
+        if not lists.num_rows:
+            continue
+        places = np.frombuffer(b"".join(lists.column(1).to_pylist()), dtype="<u2").astype(np.int64)
+        times = np.frombuffer(b"".join(lists.column(2).to_pylist()), dtype=np.uint8)
+        many = pa.compute.binary_length(lists.column(2)).to_numpy()
+        row, total = flush([np.repeat(lists.column(0).to_numpy() << 16, many) + places], [np.repeat(np.log(lists.column(3).to_numpy()), many) * times])
+        rows.append(row)
+        sums.append(total)
+        size += len(row)
+        if size > 2_000_000:
+            row, total = flush(rows, sums)
+            rows, sums, size = [row], [total], len(row)
+            if size > 1_000_000:
+                yield out(row, total)
+                rows, sums, size = [], [], 0
+    if rows:
+        yield out(*flush(rows, sums))
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity of every document, and the MD5 of its text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("content"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
+    known = stored(probabilities(stored(_ngrams(own), "asked"), model), "probabilities")
+    held = own.mapInArrow(_lists, _HELD).join(known.hint("merge"), _KEY, "left")
+    # a list without a probability is of a language without a model
+    held = held.filter("texts is null or p is not null").select("block", "texts", "times", "p", "doc_id", "lang", "n_chars", "content")
+    rows = held.mapInArrow(_sums, _SUMS).groupBy("row").agg(*(F.sum(c).alias(c) if c == "total" else F.max(c).alias(c) for c in ("total", "doc_id", "lang", "n_chars", "content")))
+    return rows.select("doc_id", "lang", "n_chars", F.exp(-F.col("total") / F.col("n_chars")).alias("perplexity"), "content")
 
 
 HIGH, MARGIN, PRIOR_CHARS = 0.998, 0.05, 40
@@ -297,44 +286,30 @@ HIGH, MARGIN, PRIOR_CHARS = 0.998, 0.05, 40
 def thresholds(scored: DataFrame, labels: DataFrame, high: float, margin: float) -> DataFrame:
     """(lang, middle, most) from the trusted documents of each language."""
     own = scored.filter("perplexity is not null").join(trusted_ids(labels), "doc_id", "left_semi")
-    middle = own.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10_000)).alias("middle")).limit(MAX_LANGS)
+    middle = own.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10_000)).alias("middle"))
     steady = own.join(F.broadcast(middle), "lang").withColumn("steady", _steady(F.col("perplexity"), F.col("n_chars"), F.col("middle")))
-    return steady.groupBy("lang").agg(F.first("middle").alias("middle"), (F.percentile_approx("steady", F.lit(high), F.lit(10_000)) * (1 + margin)).alias("most")).limit(MAX_LANGS)
+    return steady.groupBy("lang").agg(F.first("middle").alias("middle"), (F.percentile_approx("steady", F.lit(high), F.lit(10_000)) * (1 + margin)).alias("most"))
 
 
 def _steady(perplexity, n, middle):
     return F.exp((n * F.log(perplexity) + PRIOR_CHARS * F.log(middle)) / (n + PRIOR_CHARS))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, high: float, margin: float) -> DataFrame:
+    scored = stored(score(docs, fit(docs, labels)), "perplexity")
+    out = scored.join(stored(thresholds(scored, labels, high, margin), "thresholds"), "lang", "left").withColumn("steady", _steady(F.col("perplexity"), F.col("n_chars"), F.col("middle")))
+    keep = (F.col("n_chars") > 0) & (F.col("steady").isNull() | (F.col("steady") <= F.col("most")))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", "steady", "most", keep.alias("keep"), "content")
+
+
 def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, steady, most, keep of every document."""
-    shared = _Shared(docs.sparkSession, fit(docs, labels))
-    scored = stored(score(docs, shared), "perplexity")
-    limits = F.broadcast(thresholds(scored, labels, high, margin))
-    out = scored.join(limits, "lang", "left").withColumn("steady", _steady(F.col("perplexity"), F.col("n_chars"), F.col("middle")))
-    keep = (F.col("n_chars") > 0) & (F.col("steady").isNull() | (F.col("steady") <= F.col("most")))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", "steady", "most", keep.alias("keep"))
+    return _judged(docs, labels, high, margin).drop("content")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
-    """The documents, all columns, that classify() keeps."""
-    shared = _Shared(docs.sparkSession, fit(docs, labels))
-    scored = stored(score(docs, shared), "perplexity")
-    limits = {r[0]: (r[1], r[2]) for r in thresholds(scored, labels, high, margin).collect()}
-    lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
-
-    def good(lang, text, x) -> bool:
-        if not text or x is None or (lang or "und") not in limits:
-            return bool(text)
-        middle, most = limits[lang or "und"]
-        n = len(text)
-        return math.exp((n * math.log(x) + PRIOR_CHARS * math.log(middle)) / (n + PRIOR_CHARS)) <= most
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for rows in _chunks(batch, (lang_at, text_at)):
-                keep += [good(lang, text, x) for (lang, text), x in zip(rows, _score_rows(shared, rows), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents, all columns, that classify() keeps: equal texts of a language are
+    judged alike, so the rejected ones are known by language and MD5."""
+    bad = stored(_judged(docs, labels, high, margin).filter(~F.col("keep")).select(F.col("lang").alias("bad_lang"), F.col("content").alias("bad_content")).distinct(), "rejected")
+    same = (F.coalesce(docs["lang"], F.lit("und")) == bad["bad_lang"]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == bad["bad_content"])
+    return docs.join(bad, same, "left_anti")
