@@ -102,6 +102,16 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
 
 
+def test_long_system_turns_are_kept():
+    c = chat.Conversation(budget=100, history=30)
+    turns = [("system", "s", 70), ("user", "a", 25), ("assistant", "b", 20), ("user", "long", 90), ("assistant", "c", 10), ("user", "longer", 140), ("assistant", "d", 30)]
+    made = [w for t in turns for w in c.add(*t)] + list(c.close())
+    assert [([t[1] for t in w[2]], [t[1] for t in w[3]]) for w in made] == [
+        ([], ["s", "a"]), (["s"], ["b"]), ([], ["long"]), (["s"], ["c"]), ([], ["longer"]), (["s"], ["d"]),
+    ]
+    assert all(sum(t[2] for t in (*w[2], *w[3])) <= 100 for w in made if w[3][0][1] != "longer")
+
+
 # urls
 
 

@@ -5,9 +5,11 @@ put before every backslash, ``<`` and ``[``, so no text can hold a control strin
 ``unescape`` takes them out again.
 
 Windows: prefix sums of the turns' tokens choose turn-aligned spans of at most
-``budget`` tokens. Every window begins with the conversation's leading system turns
-(when they leave room), repeats at most ``history`` tokens of the turns before its
-span, and holds new turns as long as they fit; a turn longer than the budget has a
+``budget`` tokens. Every window begins with the conversation's leading system turns,
+repeats at most ``history`` tokens of the turns before its span, and holds new turns as
+long as they fit. System turns are kept while they fit the budget together; a window
+whose next turn does not fit beside them goes without them, but later windows have
+them again. A turn longer than the budget has a
 window of its own. Only the new assistant turns carry the loss mask, so a repeated
 target is masked and every assistant text is learnt once.
 
@@ -92,6 +94,7 @@ class Conversation:
         self.system: list[tuple] = []
         self.system_tokens = 0
         self.leading = True
+        self.with_system = True  # whether the current window has room for them
         self.past: deque = deque()
         self.past_tokens = 0
         self.new: list[tuple] = []
@@ -103,12 +106,14 @@ class Conversation:
     def add(self, role: str, text: str, tokens: int):
         """Yields the window that the turn closes, if any."""
         turn = (role, text, tokens)
-        if self.new and (self.new_tokens + tokens > self.budget - self._repeated()):
+        full = self.new_tokens + tokens > self.budget - self._repeated()
+        if self.new and (full or not self.with_system and self.system_tokens + tokens <= self.budget):
             yield self.window()
         if not self.new:
+            self.with_system = self.system_tokens + tokens <= self.budget
             while self.past and self._repeated() + tokens > self.budget:
                 self.past_tokens -= self.past.popleft()[2]
-        if self.leading and role == "system" and self.system_tokens + tokens <= self.budget // 2:
+        if self.leading and role == "system" and self.system_tokens + tokens <= self.budget:
             self.system.append(turn)
             self.system_tokens += tokens
         else:
@@ -118,10 +123,10 @@ class Conversation:
         self.n += 1
 
     def _repeated(self) -> int:
-        return 0 if self.first == 0 else self.system_tokens + self.past_tokens
+        return 0 if self.first == 0 else self.with_system * self.system_tokens + self.past_tokens
 
     def window(self):
-        repeated = [] if self.first == 0 else [*self.system, *self.past]
+        repeated = [] if self.first == 0 else [*(self.system if self.with_system else ()), *self.past]
         out = (self.first, self.n, repeated, list(self.new), self.prefix)
         self.prefix += self.new_tokens
         for turn in self.new:
@@ -132,7 +137,7 @@ class Conversation:
         limit = max(0, min(self.history, self.budget - self.system_tokens))
         while self.past and self.past_tokens > limit:
             self.past_tokens -= self.past.popleft()[2]
-        self.first, self.new, self.new_tokens = self.n, [], 0
+        self.first, self.new, self.new_tokens, self.with_system = self.n, [], 0, True
         return out
 
     def close(self):
