@@ -416,3 +416,10 @@ def test_licences(spark):
         (5, "GPL-3.0", "GPL-3.0", "header"), (6, None, "GPL-3.0", "inherited"), (7, None, None, None), (8, None, None, None),
     ]
     assert licences.scan(files.limit(0)).count() == 0
+
+
+def test_licence_files_are_scored_whole_and_the_root_is_an_ancestor(spark):
+    mit = "Copyright 2020 A. Person\n\n" + licences.BODIES["MIT"].replace(" of ", " of\n")
+    rows = [(1, "LICENSE", mit), (2, "a/b/x.txt", "nothing"), (3, "c/COPYING", licences.BODIES["BSD-3-Clause"]), (4, "c/d/y.txt", None), (5, "e/LICENSE", licences.BODIES["ISC"]), (6, "/abs/z.txt", "x"), (7, "f/LICENSE", licences.BODIES["BSD-2-Clause"])]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: "ISC", 6: None, 7: "BSD-2-Clause"}

@@ -5,9 +5,11 @@ or an SPDX tag is a header line; equal lines are scored once. Lines and template
 sparse vectors of word counts times inverse document frequency, counted over all
 header lines and the templates, joined by word; a line's licence is the template of
 the highest cosine, if that reaches ``least``. A file's own licence is that of its
-best line.
+best line; a licence file is also scored whole, without regard to keywords, against
+the full texts of licences (BODIES), and takes the better score.
 
-A licence file (by its base name) licenses its directory. A file without a licence
+A licence file (by its base name) licenses its directory; "." is the root of relative
+paths. A file without a licence
 of its own inherits from the nearest ancestor directory that has a licensed licence
 file: directories, not files, are joined with their ancestors, so one directory that
 holds a third of all files is one row there.
@@ -36,6 +38,23 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense.",
 }
+_BSD = '''Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+'''
+_BSD_THIRD = '''3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+'''
+_BSD_END = '''THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'''
+#: Full texts of licences that are short enough to stand for themselves in a file.
+BODIES = {
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_THIRD + _BSD_END,
+    "ISC": '''Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.''',
+    "MIT": '''Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.''',
+}
 HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain"
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e|^copying|^notice"
 _WORD_GAP = "[^a-z0-9.]+"
@@ -47,11 +66,12 @@ def _words(text):
     return F.filter(found, lambda w: w != "")
 
 
-def line_scores(lines: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """(line, licence, score) of the distinct lines (line, n) that reach ``least``."""
+def line_scores(lines: DataFrame, templates: dict[str, str], least: float, text_col: str = "line") -> DataFrame:
+    """(line, licence, score) of the distinct lines (line, n) that reach ``least``; their
+    words are those of ``text_col``."""
     spark = lines.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "licence string, text string")
-    words = lines.select("line", "n", F.explode(_words(F.col("line"))).alias("w")).groupBy("line", "n", "w").agg(F.count("*").alias("tf"))
+    words = lines.select("line", "n", F.explode(_words(F.col(text_col))).alias("w")).groupBy("line", "n", "w").agg(F.count("*").alias("tf"))
     of_template = known.select("licence", F.explode(_words(F.col("text"))).alias("w")).groupBy("licence", "w").agg(F.count("*").alias("tf"))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select((F.col("total") + len(templates)).alias("total"))
     df = words.groupBy("w").agg(F.sum("n").alias("df")).unionByName(of_template.groupBy("w").agg(F.count("*").alias("df"))).groupBy("w").agg(F.sum("df").alias("df"))
@@ -73,15 +93,19 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     named = own.filter(F.col("text").rlike(HEADER)).select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line"))
     named = named.select("doc_id", "path", F.trim("line").alias("line")).filter(F.col("line").rlike(HEADER))
     scores = line_scores(named.groupBy("line").agg(F.count("*").alias("n")), templates, least)
-    found = named.join(scores, "line").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    found = found.select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("score"))
-    directory = F.regexp_extract("path", r"^(.*)/[^/]*\z", 1)
     base = F.regexp_extract("path", r"([^/]*)\z", 1)
+    whole = own.filter(base.rlike(LICENCE_FILE) & F.col("text").isNotNull()).select("doc_id", "path", F.md5("text").alias("line"), "text")
+    whole_scores = line_scores(whole.groupBy("line").agg(F.count("*").alias("n"), F.min("text").alias("body")), BODIES, least, "body")
+    scored = named.join(scores, "line").unionByName(whole.drop("text").join(whole_scores, "line"))
+    found = scored.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    found = found.select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("score"))
+    directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*\z", 1)).when(F.col("path").isNotNull(), ".")
     licensed = found.filter(base.rlike(LICENCE_FILE)).groupBy(directory.alias("anc")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own_licence").alias("licence"))).alias("b"))
     dirs = own.select(directory.alias("dir")).distinct()
     parts = F.split("dir", "/")
     ancestors = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("anc")))).alias("a"))
-    inherited = ancestors.select("dir", "a.depth", "a.anc").join(licensed, "anc").groupBy("dir").agg(F.max(F.struct("depth", F.col("b.licence").alias("licence"))).alias("b")).select("dir", F.col("b.licence").alias("inherited"))
+    root = dirs.filter((F.col("dir") != ".") & (F.col("dir") != "") & ~F.col("dir").startswith("/")).select("dir", F.lit(0).alias("depth"), F.lit(".").alias("anc"))
+    inherited = ancestors.select("dir", "a.depth", "a.anc").unionByName(root).join(licensed, "anc").groupBy("dir").agg(F.max(F.struct("depth", F.col("b.licence").alias("licence"))).alias("b")).select("dir", F.col("b.licence").alias("inherited"))
     files_ = own.select("doc_id", "path", directory.alias("dir"))
     out = files_.join(found.select(F.col("doc_id").alias("f_id"), F.col("path").alias("f_path"), "own_licence", "score"), F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("path").eqNullSafe(F.col("f_path")), "left")
     out = out.join(inherited, "dir", "left")
