@@ -1,12 +1,17 @@
-"""Shared helpers: reading tables, cutting lineage in the shared folder, counting partitions."""
+"""Shared helpers: reading tables, cutting lineage in the shared folder, bounded slices
+of texts, filters of fixed size, and giving memory back at the end of a task."""
 
 from __future__ import annotations
 
-import math
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; where that is unset (tests, one machine) a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    Only where that is unset and the session is on one machine, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -24,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,23 +46,77 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a frame made by stored()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by stored(), when nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocks_for(rows: int, per_block: int) -> int:
-    return max(1, math.ceil(rows / per_block))
-
-
-def utf8_bytes(column: str):
-    """The UTF-8 bytes of a text column, none for null."""
-    return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+def trim() -> None:
+    """Gives freed memory back to the machine: workers are kept between tasks, and what
+    one task left would otherwise count against all later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def released(run: Callable, clear: Callable[[], None] | None = None) -> Callable:
+    """A mapInArrow function that ends with clear() and trim(), whatever happens."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if clear is not None:
+                clear()
+            trim()
+
+    return wrapped
+
+
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of runs of rows with at most so many bytes of text, or one row."""
+    column = batch.column(at)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    low, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > low and (held + size > most or k - low == 4096):
+            yield low, column.slice(low, k - low).to_pylist()
+            low, held = k, 0
+        held += size
+    if low < len(sizes):
+        yield low, column.slice(low).to_pylist()
+
+
+def in_bitmap(docs: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """docs with __tl_near: false means that its key is surely not among keys. The bitmap
+    has 2^bits bits (1 MB) whatever the number of keys, which bounds the broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    one = F.expr("1L")
+    bitmap = keys.select(place(F.col(key)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("__tl_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("b") % 64).cast("int"))).alias("__tl_bits"))
+    near = docs.withColumn("__tl_at", place(F.col(key))).join(F.broadcast(bitmap), F.floor(F.col("__tl_at") / 64) == F.col("__tl_word"), "left")
+    hit = F.call_function("shiftrightunsigned", F.col("__tl_bits"), (F.col("__tl_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return near.withColumn("__tl_near", F.coalesce(hit, F.lit(False))).drop("__tl_at", "__tl_word", "__tl_bits")
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> Column:
+    """A predicate that at most ``most`` rows fulfil, those of the largest counts: steps
+    of a sixteenth of a power of two are taken from the top while they fit."""
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    least, held = 1 << 20, 0
+    for found, n in sorted(df.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, found
+    return step >= least

@@ -2,12 +2,16 @@
 
 The model is over characters, every code point a symbol of its own, of order four, one
 for each language, counted on every trusted document. Its tables grow with the trusted
-text and never leave the executors: counts of the four orders, their context sums,
-counts of counts and discounts are DataFrame aggregates and equi-joins sharded by
-language and n-gram, and so is the scoring. The distinct n-grams of all documents get
-their probabilities order by order. Documents are taken in blocks, in which each n-gram
-lists the documents that hold it, and how often; these lists are joined with the
-probabilities and come back as sums by document, so no task holds a whole table.
+text and stay on the executors: counts of the four orders, their context sums, counts of
+counts and discounts are DataFrame aggregates and equi-joins sharded by language and
+n-gram, and so is the scoring: the distinct n-grams of all documents get their
+probabilities order by order by joins.
+
+Then each document sums its log probabilities. The ``HEAD`` most frequent n-grams, a
+fixed number, are summed where the text is. All others go through the sharded join: in
+a slice of documents each n-gram lists the documents that hold it, and how often; the
+lists are joined with the probabilities by language and n-gram and come back as sums by
+document. So no task holds a whole table, and only the head is broadcast.
 
 A document's perplexity is exp of its mean negative log probability per character
 over its whole text. Short texts say little, so for the decision it is drawn to the
@@ -18,7 +22,10 @@ characters (``steady``). A document is kept if its steady perplexity is at most
 Null or empty text: perplexity null, rejected. Null language: the language "und". A
 language without trusted text has no model: perplexity null, kept. Without labels
 nothing can be judged and all but empty texts are kept. A document labelled twice is
-trusted if no label of it is bad. Equal texts of a language get equal values.
+trusted if no label of it is bad. Equal texts of a language, repeated rows among them,
+get equal values. A very long text is read in parts of PART characters. Empty tables
+give empty results. Further columns, whatever their names, are not read; keep_good()
+returns them unchanged (names that begin with __tl_ are reserved).
 """
 
 from __future__ import annotations
@@ -31,12 +38,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, in_bitmap, most_frequent, released, stored
 
 ORDER = 4
 #: Code points; an n-gram is two longs, ``hi`` and ``lo``, of two symbols each.
 CLASSES = 0x110000
 BITS = 21
+#: Characters of text that a task looks at together.
+PART = 1_000_000
+#: N-grams that are broadcast (32 bytes each).
+HEAD = 1 << 18
 _MASK = (1 << BITS) - 1
 _KEY = ["lang", "hi", "lo"]
 
@@ -46,55 +57,96 @@ def classes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
 
 
-def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the place of each key among them)."""
+    found = pa.array(keys).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
+def keys_of(texts: list[str], before: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hi, lo) of the distinct n-grams of non-empty texts; of each character in turn the
-    place of its n-gram among them and of its text."""
+    place of its n-gram among them and of its text. ``before`` holds the up to three
+    characters that stand before each text."""
+    n = ORDER - 1
     sizes = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(texts)), sizes)
-    c = np.zeros(sizes.sum() + (ORDER - 1) * len(texts), dtype=np.int64)
-    at = np.arange(len(owner)) + (ORDER - 1) * (owner + 1)
+    c = np.zeros(sizes.sum() + n * len(texts), dtype=np.int64)
+    at = np.arange(len(owner)) + n * (owner + 1)
     c[at] = classes("".join(texts))
-    pairs, which = np.unique((c[:-1] << BITS) | c[1:], return_inverse=True)
-    found, gram = np.unique((which[at - 3] << 32) | which[at - 1], return_inverse=True)
+    for k, b in enumerate(before or ()):
+        if b:
+            end = int(sizes[:k].sum()) + n * (k + 1)
+            c[end - len(b) : end] = classes(b)
+    pairs, which = _distinct((c[:-1] << BITS) | c[1:])
+    which = which.astype(np.int64)
+    found, gram = _distinct((which[at - 3] << 32) | which[at - 1])
     return pairs[found >> 32], pairs[found & 0xFFFFFFFF], gram, owner
 
 
-def _chunks(batches, columns, most: int) -> Iterator[list[tuple]]:
-    """Rows of all batches as lists, each of about so many characters (the last column)
-    or one row, and of at most 65,536 rows."""
-    held, size = [], 0
+def _parts(batches, columns) -> Iterator[list[tuple]]:
+    """Lists of parts (number of the row, first part?, columns.., before, text) of
+    together at most about PART characters and 65,536 rows."""
+    held, size, number, since = [], 0, -1, 0
     for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            cut = batch.slice(low, 500)
+        for low in range(0, batch.num_rows, 200):
+            cut = batch.slice(low, 200)
             for row in zip(*(cut.column(i).to_pylist() for i in columns), strict=True):
-                held.append(row)
-                size += len(row[-1] or "")
-                if size >= most or len(held) == 65_536:
-                    yield held
-                    held, size = [], 0
+                number += 1
+                text = row[-1] or ""
+                for at in range(0, len(text) or 1, PART):
+                    part = text[at : at + PART]
+                    if held and (size + len(part) > PART or number - since >= 65_536):
+                        yield held
+                        held, size = [], 0
+                    if not held:
+                        since = number
+                    held.append((number, at == 0, *row[:-1], text[max(0, at - ORDER + 1) : at], part))
+                    size += len(part)
     if held:
         yield held
 
 
-def _by_lang(rows: list[tuple]) -> dict[str, list[int]]:
-    """Places of the rows (..., lang, text) with text."""
+def _by_lang(parts: list[tuple]) -> dict[str, list[int]]:
+    """Places of the parts (.., lang, before, text) with text."""
     out: dict[str, list[int]] = {}
-    for i, row in enumerate(rows):
-        if row[-1]:
-            out.setdefault(row[-2], []).append(i)
+    for i, part in enumerate(parts):
+        if part[-1]:
+            out.setdefault(part[-3], []).append(i)
     return out
 
 
 def _counts(batches):
-    for rows in _chunks(batches, (0, 1), 4_000_000):
-        for lang, places in _by_lang(rows).items():
-            hi, lo, gram, _ = keys_of([rows[i][1] for i in places])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(np.bincount(gram, minlength=len(hi)))], names=[*_KEY, "c"])
+    """(lang, hi, lo, c), added up over parts while they are few."""
+
+    def flush():
+        for lang, found in held.items():
+            hi, lo, c = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, h = _distinct(hi)
+            _, w = _distinct(lo)
+            key, which = _distinct((h.astype(np.int64) << 32) | w)
+            first = np.zeros(len(key), dtype=np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            total = np.bincount(which, c, len(key)).astype(np.int64)
+            for low in range(0, len(key), 50_000):
+                cut = slice(low, low + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first[cut]), pa.string()), pa.array(hi[first[cut]]), pa.array(lo[first[cut]]), pa.array(total[cut])], names=[*_KEY, "c"])
+
+    held: dict[str, list] = {}
+    size = 0
+    for parts in _parts(batches, (0, 1)):
+        for lang, places in _by_lang(parts).items():
+            hi, lo, gram, _ = keys_of([parts[i][-1] for i in places], [parts[i][-2] for i in places])
+            held.setdefault(lang, []).append((hi, lo, np.bincount(gram, minlength=len(hi))))
+            size += len(hi)
+        if size > 1_500_000:
+            yield from flush()
+            held, size = {}, 0
+    yield from flush()
 
 
 def _ngrams(df: DataFrame) -> DataFrame:
     """(lang, hi, lo, c): how often each n-gram is in the texts of (lang, text)."""
-    return df.select("lang", "text").mapInArrow(_counts, "lang string, hi long, lo long, c long").groupBy(_KEY).agg(F.sum("c").alias("c"))
+    return df.select("lang", "text").mapInArrow(released(_counts), "lang string, hi long, lo long, c long").groupBy(_KEY).agg(F.sum("c").alias("c"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -102,20 +154,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
 
 
-_FILTER_BITS = 23
-
-
 def trusted_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(lang, text) of the trusted documents. A bitmap of the ids' hashes, of 2^23 bits
-    whatever their number, first drops nearly all others, so that only about the
-    trusted texts are shuffled for the exact join."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
-    one = F.expr("1L")
-    bitmap = ids.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("bm_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("b") % 64).cast("int"))).alias("bm_bits"))
-    own = docs.filter("doc_id is not null and text is not null").withColumn("bm_at", bit)
-    near = own.join(F.broadcast(bitmap), F.floor(F.col("bm_at") / 64) == F.col("bm_word"))
-    near = near.filter(F.call_function("shiftrightunsigned", F.col("bm_bits"), (F.col("bm_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    # not a semi join, which the optimizer would move below the bitmap's
+    """(lang, text) of the trusted documents. A bitmap of the ids' hashes first drops
+    nearly all others, so that only about the trusted texts are shuffled for the exact
+    join (a merge join, which the optimizer does not move below the bitmap's)."""
+    near = in_bitmap(docs.filter("doc_id is not null and text is not null"), "doc_id", ids).filter("__tl_near")
     return near.select("doc_id", "lang", "text").join(ids.hint("merge"), "doc_id").select("lang", "text")
 
 
@@ -171,63 +214,116 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]]
 
 
 def probabilities(wanted: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, hi, lo, p) of the distinct n-grams wanted whose language has a model."""
-    asked = [wanted.select(_KEY)]
+    """(lang, hi, lo, c, p) of the distinct n-grams (lang, hi, lo, c) wanted whose
+    language has a model."""
+    asked = [wanted]
     for order in range(ORDER - 1, 0, -1):
         hi, lo = _ending(order)
         asked.insert(0, asked[0].select("lang", hi.alias("hi"), lo.alias("lo")).distinct())
     below = None
     before, last = _context()
     for order, (own, (share, weight)) in enumerate(zip(asked, model, strict=True), 1):
-        made = own.select(*_KEY, before.alias("h_hi"), last.alias("h_lo")).join(share, _KEY, "left").join(weight, ["lang", "h_hi", "h_lo"], "inner" if order == 1 else "left")
+        kept = own.columns
+        made = own.select(*kept, before.alias("h_hi"), last.alias("h_lo")).join(share, _KEY, "left").join(weight, ["lang", "h_hi", "h_lo"], "inner" if order == 1 else "left")
         if below is None:
             made = made.withColumn("b", F.lit(1.0 / CLASSES))
         else:
             hi, lo = _ending(order - 1)
             made = made.withColumns({"e_hi": hi, "e_lo": lo}).join(below.select("lang", F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"), F.col("p").alias("b")), ["lang", "e_hi", "e_lo"])
-        below = made.select(*_KEY, (F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("b")).alias("p"))
+        below = made.select(*kept, (F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("b")).alias("p"))
     return below
 
 
-_HELD = "hi long, lo long, block long, texts binary, times binary, doc_id long, lang string, n_chars long, content binary"
+def _mixed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    x = hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Head:
+    """Log probabilities of the most frequent n-grams, by language."""
+
+    def __init__(self, rows: pa.Table):
+        self.by_lang: dict[str, tuple] = {}
+        langs = np.array(rows.column(0).to_pylist(), dtype=object)
+        hi, lo, p = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        for lang in set(langs.tolist()):
+            own = np.flatnonzero(langs == lang)
+            key = _mixed(hi[own], lo[own])
+            own = own[np.argsort(key, kind="stable")]
+            self.by_lang[lang] = (np.sort(key), hi[own], lo[own], np.log(p[own]))
+
+    def find(self, lang: str, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is here, its log probability or 0) of each n-gram."""
+        if lang not in self.by_lang:
+            return np.zeros(len(hi), dtype=bool), np.zeros(len(hi))
+        key, own_hi, own_lo, logs = self.by_lang[lang]
+        at = np.minimum(np.searchsorted(key, _mixed(hi, lo)), len(key) - 1)
+        here = (own_hi[at] == hi) & (own_lo[at] == lo)
+        return here, np.where(here, logs[at], 0.0)
+
 
+_HELD = "hi long, lo long, base long, texts binary, times binary, row long, total double, doc_id long, lang string, n_chars long, content binary"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
 
-def _lists(batches):
-    """A row for each document, and for each n-gram of a block the places of the
-    documents that hold it (two bytes each) and how often (one byte; more often than
-    255 times is several places)."""
-    from pyspark import TaskContext
 
-    schema = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in _HELD.split(", ")])
-    block = TaskContext.get().partitionId() << 24
+def _lists(shared):
+    """A row for each part of a document, with its sum over the head, and for each other
+    n-gram the places of the documents that hold it (two bytes each, from ``base``) and
+    how often (one byte; more often than 255 times is several places)."""
+    schema = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in _HELD.split(", ")])
 
     def rows_of(n, **columns):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    for rows in _chunks(batches, (0, 1, 2, 3), 8_000_000):
-        n = len(rows)
-        # no n-gram has these keys, which deal the documents
-        yield rows_of(
-            n, hi=pa.array([-1] * n, pa.int64()), lo=pa.array([-1 - block * 65536 - i for i in range(n)], pa.int64()), block=pa.array([block * 65536 + i for i in range(n)], pa.int64()),
-            doc_id=pa.array([r[0] for r in rows], pa.int64()), lang=pa.array([r[2] for r in rows], pa.string()), n_chars=pa.array([len(r[3] or "") for r in rows], pa.int64()), content=pa.array([r[1] for r in rows], pa.binary()),
-        )
-        for lang, places in _by_lang([r[2:] for r in rows]).items():
-            hi, lo, gram, owner = keys_of([rows[i][3] for i in places])
-            held, times = np.unique(gram * 65536 + np.array(places)[owner], return_counts=True)
-            more = -(-times // 255)
-            if more.max() > 1:
-                last = np.cumsum(more) - 1
-                left, held = times - 255 * (more - 1), np.repeat(held, more)
-                times = np.full(len(held), 255)
-                times[last] = left
-            ends = np.append(0, np.cumsum(np.bincount(held >> 16, minlength=len(hi))))
-            for low in range(0, len(hi), 20_000):
-                high = min(low + 20_000, len(hi))
-                cut = slice(ends[low], ends[high])
-                offsets = ends[low : high + 1] - ends[low]
-                binary = lambda raw, width: pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])  # noqa: B023, E731
-                yield rows_of(high - low, hi=pa.array(hi[low:high]), lo=pa.array(lo[low:high]), block=pa.array(np.full(high - low, block)), texts=binary((held[cut] & 65535).astype("<u2"), 2), times=binary(times[cut].astype(np.uint8), 1), lang=pa.array([lang] * (high - low), pa.string()))
-        block += 1
+    def run(batches):
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 33
+        head = shared.value
+        part_number = 0
+        for parts in _parts(batches, (0, 1, 2, 3)):
+            since = parts[0][0]
+            base = first + since
+            total: list[float | None] = [None] * len(parts)
+            for lang, places in _by_lang(parts).items():
+                hi, lo, gram, owner = keys_of([parts[i][-1] for i in places], [parts[i][-2] for i in places])
+                here, logs = head.find(lang, hi, lo)
+                known = here[gram]
+                some = np.bincount(owner, minlength=len(places), weights=np.where(known, logs[gram], 0.0))
+                for i, value, n in zip(places, some.tolist(), np.bincount(owner[known], minlength=len(places)).tolist(), strict=True):
+                    total[i] = value if n else None
+                document = np.array([parts[i][0] - since for i in places])
+                rest = ~known
+                held, times = np.unique(gram[rest].astype(np.int64) * 65536 + document[owner[rest]], return_counts=True)
+                if not len(held):
+                    continue
+                more = -(-times // 255)
+                if more.max() > 1:
+                    last = np.cumsum(more) - 1
+                    left, held = times - 255 * (more - 1), np.repeat(held, more)
+                    times = np.full(len(held), 255)
+                    times[last] = left
+                used, starts = np.unique(held >> 16, return_index=True)
+                ends = np.append(starts, len(held))
+                for low in range(0, len(used), 20_000):
+                    high = min(low + 20_000, len(used))
+                    cut = slice(ends[low], ends[high])
+                    offsets = ends[low : high + 1] - ends[low]
+                    binary = lambda raw, width: pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])  # noqa: B023, E731
+                    yield rows_of(
+                        high - low, hi=pa.array(hi[used[low:high]]), lo=pa.array(lo[used[low:high]]), base=pa.array(np.full(high - low, base)),
+                        texts=binary((held[cut] & 65535).astype("<u2"), 2), times=binary(times[cut].astype(np.uint8), 1), lang=pa.array([lang] * (high - low), pa.string()),
+                    )
+            n = len(parts)
+            # no n-gram has these keys, which deal the documents
+            yield rows_of(
+                n, hi=pa.array([-1] * n, pa.int64()), lo=pa.array([-1 - first - part_number - i for i in range(n)], pa.int64()), row=pa.array([first + p[0] for p in parts], pa.int64()), total=pa.array(total, pa.float64()),
+                doc_id=pa.array([p[2] if p[1] else None for p in parts], pa.int64()), lang=pa.array([p[4] for p in parts], pa.string()), n_chars=pa.array([len(p[-1]) for p in parts], pa.int64()), content=pa.array([p[3] if p[1] else None for p in parts], pa.binary()),
+            )
+            part_number += n
+
+    return run
 
 
 _SUMS = "row long, total double, doc_id long, lang string, n_chars long, content binary"
@@ -235,7 +331,7 @@ _SUMS = "row long, total double, doc_id long, lang string, n_chars long, content
 
 def _sums(batches):
     """The documents as they come, and sums of log probabilities by document."""
-    schema = pa.schema([("row", pa.int64()), ("total", pa.float64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("content", pa.binary())])
+    schema = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in _SUMS.split(", ")])
 
     def flush(rows, sums):
         row, which = np.unique(np.concatenate(rows), return_inverse=True)
@@ -248,35 +344,40 @@ def _sums(batches):
     for batch in batches:
         documents = batch.filter(pa.compute.is_null(batch.column(1)))
         if documents.num_rows:
-            yield pa.RecordBatch.from_arrays([documents.column(0), pa.nulls(documents.num_rows, pa.float64()), *documents.columns[4:]], schema=schema)
+            yield pa.RecordBatch.from_arrays(documents.columns[4:], schema=schema)
         lists = batch.filter(pa.compute.is_valid(batch.column(1)))
         if not lists.num_rows:
             continue
         places = np.frombuffer(b"".join(lists.column(1).to_pylist()), dtype="<u2").astype(np.int64)
         times = np.frombuffer(b"".join(lists.column(2).to_pylist()), dtype=np.uint8)
         many = pa.compute.binary_length(lists.column(2)).to_numpy()
-        row, total = flush([np.repeat(lists.column(0).to_numpy() << 16, many) + places], [np.repeat(np.log(lists.column(3).to_numpy()), many) * times])
+        row, total = flush([np.repeat(lists.column(0).to_numpy(), many) + places], [np.repeat(np.log(lists.column(3).to_numpy()), many) * times])
         rows.append(row)
         sums.append(total)
         size += len(row)
-        if size > 2_000_000:
+        if size > 1_000_000:
             row, total = flush(rows, sums)
             rows, sums, size = [row], [total], len(row)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield out(row, total)
                 rows, sums, size = [], [], 0
     if rows:
         yield out(*flush(rows, sums))
 
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], head: int = HEAD) -> DataFrame:
     """doc_id, lang, n_chars, perplexity of every document, and the MD5 of its text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("content"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
-    known = stored(probabilities(stored(_ngrams(own), "asked"), model), "probabilities")
-    held = own.mapInArrow(_lists, _HELD).join(known.hint("merge"), _KEY, "left")
+    asked = stored(_ngrams(own), "asked")
+    known = stored(probabilities(asked, model), "probabilities")
+    drop_stored(asked)
+    top = known.filter(most_frequent(known, "c", head)).select(*_KEY, "p").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(Head(top))
+    held = own.mapInArrow(released(_lists(shared)), _HELD).join(known.select(*_KEY, "p").hint("merge"), _KEY, "left")
     # a list without a probability is of a language without a model
-    held = held.filter("texts is null or p is not null").select("block", "texts", "times", "p", "doc_id", "lang", "n_chars", "content")
-    rows = held.mapInArrow(_sums, _SUMS).groupBy("row").agg(*(F.sum(c).alias(c) if c == "total" else F.max(c).alias(c) for c in ("total", "doc_id", "lang", "n_chars", "content")))
+    held = held.filter("texts is null or p is not null").select("base", "texts", "times", "p", "row", "total", "doc_id", "lang", "n_chars", "content")
+    summed = {"total": F.sum("total"), "n_chars": F.sum("n_chars")}
+    rows = held.mapInArrow(released(_sums), _SUMS).groupBy("row").agg(*(summed.get(c, F.max(c)).alias(c) for c in ("total", "doc_id", "lang", "n_chars", "content")))
     return rows.select("doc_id", "lang", "n_chars", F.exp(-F.col("total") / F.col("n_chars")).alias("perplexity"), "content")
 
 
@@ -309,7 +410,12 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: flo
 
 def keep_good(docs: DataFrame, labels: DataFrame, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
     """The documents, all columns, that classify() keeps: equal texts of a language are
-    judged alike, so the rejected ones are known by language and MD5."""
-    bad = stored(_judged(docs, labels, high, margin).filter(~F.col("keep")).select(F.col("lang").alias("bad_lang"), F.col("content").alias("bad_content")).distinct(), "rejected")
-    same = (F.coalesce(docs["lang"], F.lit("und")) == bad["bad_lang"]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == bad["bad_content"])
-    return docs.join(bad, same, "left_anti")
+    judged alike, so the rejected ones are known by language and MD5. Only rows that a
+    bitmap of those does not clear are shuffled."""
+    key = lambda lang, content: F.concat(lang, F.lit(":"), content)
+    bad = stored(_judged(docs, labels, high, margin).filter(~F.col("keep")).select(key(F.col("lang"), F.lower(F.hex("content"))).alias("__tl_key")).distinct(), "rejected")
+    own = docs.withColumn("__tl_key", key(F.coalesce(F.col("lang"), F.lit("und")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    marked = in_bitmap(own, "__tl_key", bad)
+    # an outer join: an anti join would be moved below the bitmap's, to all rows
+    near = marked.filter("__tl_near").join(bad.withColumn("__tl_bad", F.lit(True)), "__tl_key", "left").filter("__tl_bad is null")
+    return marked.filter(~F.col("__tl_near")).select(docs.columns).unionByName(near.select(docs.columns))
