@@ -276,7 +276,7 @@ def test_jaccard_is_brute_force(spark, percent, width, few):
         sets[k] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     truth = plain_components(sorted(sets), lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
     links = jaccard.class_links
-    jaccard.class_links = lambda p, f, x: links(p, f, x, few)
+    jaccard.class_links = lambda p, f, x: links(p, f, x, few, 0.75 if few > 2 else 0.0)
     try:
         got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), percent, width).collect()
     finally:

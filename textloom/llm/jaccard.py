@@ -11,25 +11,30 @@ not. The classes that share a prefix token of order A are candidates; a pair mus
 one under B and C as well. Then the eighth part of both sets whose hashes end in three
 zero bits bounds their intersection, and only pairs that can still link fetch the sets.
 
-Only components are asked for, so not all pairs of a token are made. First every
-class is compared with one hub of each of its tokens (the least class); links found
-so merge components, and tokens whose classes all lie in one component need nothing
-more. Of the other tokens, those with at most ``few`` classes give their pairs. Those
-with more (large groups of near copies that the hub did not join) are gathered to
-clusters, the components of classes that share such a token; a cluster's sets are
-dealt to cells of two blocks, each cell intersects its sets at once as a matrix
-product and returns a forest of the links. So no pairs are emitted there, each pair of
-a cluster is compared once, and no pair that could join two components is left out:
-the components are exact.
+Only components are asked for, so not all pairs of a token are made. In rounds, every
+class is compared with one hub of each of its tokens, another one each round; links
+found so merge components, and tokens whose classes all lie in one component need
+nothing more. A group of near copies, however large, is settled so without its pairs.
+Rounds end when they no longer settle a quarter of what is left. Of the tokens left,
+those with at most ``few`` classes give their pairs. The classes of the others are
+gathered to clusters and dealt to cells of two blocks, of classes whose sizes fit. A
+cell first intersects the filters of the three orders for its pairs, as products of
+matrices, then counts the intersections of the sets that have a candidate, and returns a
+forest of the links. So no pairs are emitted there, each pair of a cluster is compared
+once, and no pair that could join two components is left out: the components are exact.
 
 Null text and text without words: the set is empty, the size 0, no link. A null id
 takes part; the component of a class without any id is null. Repeated rows are
-members of their class. An empty table gives an empty result. Two different sets
-count as equal, or two shingles as one, only if 64-bit hashes collide.
+members of their class. Links at exactly the threshold count. A very long text needs
+memory in proportion to itself. An empty table gives an empty result. Further columns,
+whatever their names, are not read (keep_one() returns them; names that begin with __tl_
+are reserved). Two different sets count as equal, or two shingles or words as one, only
+if 64-bit hashes collide.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -38,24 +43,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_bitmap, released, stored, text_slices
 from .graph import components
 
-_MEMO_WORDS = 600_000
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 _ORDERS = [np.uint64(0x9FB21C651E98DF25), np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)]
-
-
-class _Words(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+#: Words are hashed as polynomials of their bytes' values, modulo 2^64.
+_BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE, _UNBASE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,23 +63,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles. bytes.lower() changes A-Z
-    only, and bytes.split() splits at the six ASCII spaces only."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) < width:
-        x = np.uint64(len(h))
-        for k in range(len(h)):
-            x = _mix(np.array([x * _MULT[0] + h[k]], dtype=np.uint64))[0]
-        return np.array([x], dtype=np.uint64)
-    n = len(h) - width + 1
-    x = np.full(n, width, dtype=np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles, words cut at the six ASCII
+    spaces and A-Z lower-cased; all texts' bytes, words and shingles at once."""
+    raws = [(t or "").encode() for t in texts]
+    flat = _LOWER[np.frombuffer(b" ".join([b"", *raws, b""]), dtype=np.uint8)]
+    word = ~_SPACE[flat]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, end = edge[0::2], edge[1::2]
+    # sums of the bytes' values times powers by place, as they wrap around
+    total = np.zeros(len(flat) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[flat] * _powers(_BASE, len(flat) - 1), out=total[1:])
+    h = _mix((total[end] - total[start]) * _powers(_UNBASE, len(flat))[start] + (end - start).astype(np.uint64) * _MULT[1])
+    del total
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    first = np.searchsorted(start, np.concatenate([[0], ends]))
+    n = max(0, len(h) - width + 1)
+    every = np.full(n, width, dtype=np.uint64)
     for k in range(width):
-        x = _mix(x * _MULT[k % 3] + h[k : k + n])
-    return np.unique(x)
+        every = _mix(every * _MULT[k % 3] + h[k : k + n])
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= width:
+            out.append(np.unique(every[a : b - width + 1]))
+        elif b > a:
+            x = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                x = _mix(x * _MULT[0] + h[k])
+            out.append(x)
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+    return out
 
 
 def slot(found: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -101,13 +121,6 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _texts(batch, at: int):
-    if len(_words) > _MEMO_WORDS:
-        _words.clear()
-    for low in range(0, batch.num_rows, 1000):
-        yield low, batch.column(at).slice(low, 1000).to_pylist()
-
-
 def _sized(width: int, bits: int):
     """Per document size and class; at the end of a partition its sketch."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sk_from", pa.int32()), ("sk", pa.list_(pa.int32()))])
@@ -117,49 +130,51 @@ def _sized(width: int, bits: int):
         step = 4096
         with np.errstate(over="ignore"):
             for batch in batches:
-                for low, texts in _texts(batch, 1):
-                    ids, sizes, classes, seen = batch.column(0).slice(low, 1000), [], [], []
-                    for t in texts:
-                        s = shingles(t, width)
-                        sizes.append(len(s))
-                        classes.append(class_of(s) if len(s) else None)
-                        seen.append(s)
+                for low, texts in text_slices(batch, 1):
+                    n = len(texts)
+                    seen = shingle_sets(texts, width)
+                    sizes, classes = [len(s) for s in seen], [class_of(s) if len(s) else None for s in seen]
                     every = np.concatenate(seen)
                     for order in range(3):
-                        sketch += np.bincount(slot(every, order, bits), minlength=3 << bits)
-                    n = len(texts)
-                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+                        found, times = np.unique(slot(every, order, bits), return_counts=True)
+                        sketch[found] += times
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
         rows = [(k, np.minimum(sketch[k : k + step], 2**31 - 1)) for k in range(0, len(sketch), step) if sketch[k : k + step].any()]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
 
-    return run
+    return released(run)
+
+
+def _new_sets(batches, width: int):
+    """Lists of (class, set) of the texts whose class this partition has not met before
+    (as far as a bounded memory tells: a class may come again)."""
+    seen: set[int] = set()
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for _, texts in text_slices(batch, 0):
+                if len(seen) > 200_000:
+                    seen.clear()
+                fresh = []
+                for s in shingle_sets(texts, width):
+                    c = class_of(s) if len(s) else None
+                    if c is not None and c not in seen:
+                        seen.add(c)
+                        fresh.append((c, s))
+                if fresh:
+                    yield fresh
 
 
 def _postings(width: int, percent: int, bits: int, shared):
     """(token, cls, n) of the prefix under order A of each class, once a partition."""
 
     def run(batches):
-        counts = shared.value
-        seen: set[int] = set()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                if len(seen) > 300_000:
-                    seen.clear()
-                for _, texts in _texts(batch, 0):
-                    tokens, classes, sizes = [], [], []
-                    for t in texts:
-                        s = shingles(t, width)
-                        c = class_of(s) if len(s) else None
-                        if c is None or c in seen:
-                            continue
-                        seen.add(c)
-                        tokens.append(prefix(s, 0, bits, counts, percent))
-                        classes.append(np.full(len(tokens[-1]), c, dtype=np.int64))
-                        sizes.append(np.full(len(tokens[-1]), len(s), dtype=np.int32))
-                    if tokens:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], names=["token", "cls", "n"])
+        for fresh in _new_sets(batches, width):
+            tokens = [prefix(s, 0, bits, shared.value, percent) for _, s in fresh]
+            many = [len(t) for t in tokens]
+            columns = np.concatenate(tokens).view(np.int64), np.repeat(np.array([c for c, _ in fresh], dtype=np.int64), many), np.repeat(np.array([len(s) for _, s in fresh], dtype=np.int32), many)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "cls", "n"])
 
-    return run
+    return released(run)
 
 
 _FEATURES = "cls long, n int, pb array<int>, pc array<int>, part array<long>, items array<long>"
@@ -170,31 +185,23 @@ def _features(width: int, percent: int, bits: int, shared):
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("pb", pa.list_(pa.int32())), ("pc", pa.list_(pa.int32())), ("part", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
-        counts = shared.value
-        seen: set[int] = set()
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for _, texts in _texts(batch, 0):
-                    out: list[list] = [[] for _ in schema]
-                    for t in texts:
-                        s = shingles(t, width)
-                        c = class_of(s) if len(s) else None
-                        if c is None or c in seen:
-                            continue
-                        seen.add(c)
-                        # 32 bits of a token are enough to ask whether none is shared
-                        short = [(prefix(s, order, bits, counts, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2)]
-                        for column, value in zip(out, [c, len(s), *short, s[s & np.uint64(7) == 0].view(np.int64), s.view(np.int64)], strict=True):
-                            column.append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+        for fresh in _new_sets(batches, width):
+            for low in range(0, len(fresh), 500):
+                out: list[list] = [[] for _ in schema]
+                for c, s in fresh[low : low + 500]:
+                    # 32 bits of a token are enough to ask whether none is shared
+                    short = [(prefix(s, order, bits, shared.value, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2)]
+                    for column, value in zip(out, [c, len(s), *short, s[s & np.uint64(7) == 0].view(np.int64), s.view(np.int64)], strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run
+    return released(run)
 
 
 def _only(docs: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
     """Rows whose key's hash is in a bitmap of fixed size: all whose key is in keys, and
     some others, which the later join on the key leaves out."""
-    return _in_bitmap(docs, key, keys, bits).filter("__tl_near").select(docs.columns)
+    return in_bitmap(docs, key, keys, bits).filter("__tl_near").select(docs.columns)
 
 
 def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -226,104 +233,136 @@ def _shared_postings(made: DataFrame, percent: int) -> DataFrame:
     three steps drops no pair."""
     token = Window.partitionBy("token")
     several = made.withColumn("lo", F.min("cls").over(token)).withColumn("hi", F.max("cls").over(token)).filter("lo != hi")
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("int") if percent < 100 else F.col("n")
-    several = stored(several.select("token", "cls", "n", step.alias("step")).distinct(), "several")
+    several = stored(several.select("token", "cls", "n", _step(percent).alias("step")).distinct(), "several")
     spans = several.groupBy("token", "step").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     spans = spans.select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "lo", "hi")
     fitting = spans.groupBy("token", "step").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("token", "step")
     return several.join(fitting, ["token", "step"]).select("token", "cls", "n")
 
 
-_BLOCK = 1024
+#: Classes and shingles of a block of a cluster.
+_BLOCK, _BLOCK_ITEMS = 1024, 300_000
+
+
+def _product(lists: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many values each two of the lists share (each holds a value once), as a matrix
+    product in slices of the values that are in more than one list."""
+    sizes = np.array([len(x) for x in lists])
+    flat = np.concatenate(lists) if len(lists) else np.zeros(0, dtype=np.int64)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, column = np.repeat(np.arange(len(lists)), sizes)[keep], column[place][keep]
+    # values of the same lists stand together, so a slice of them meets few lists
+    edges = int(shared.sum())
+    first, last = np.full(edges, len(lists)), np.zeros(edges, dtype=np.int64)
+    np.minimum.at(first, column, owner)
+    np.maximum.at(last, column, owner)
+    rank = np.empty(edges, dtype=np.int64)
+    rank[np.lexsort((last, first))] = np.arange(edges)
+    column = rank[column]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(lists), len(lists)), dtype=np.float32)
+    for low in range(0, edges, width):
+        x, y = np.searchsorted(column, [low, low + width])
+        rows, own = np.unique(owner[x:y], return_inverse=True)
+        part = np.zeros((len(rows), min(width, edges - low)), dtype=np.float32)
+        part[own, column[x:y] - low] = 1
+        common[np.ix_(rows, rows)] += part @ part.T
+    return common
 
 
 def _cell(percent: int):
-    """Links within a cell, as a forest: rows (cls, n, comp, items) of two blocks."""
+    """Links within a cell, as a forest: rows (cls, comp, pa, pb, pc, items) of two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
+        lists = lambda name: [np.unique(x.values.to_numpy()) for x in table.column(name)]
         classes, comps = table.column("cls").to_numpy(), table.column("comp").to_numpy()
-        sets = [x.values.to_numpy() for x in table.column("items")]
-        sizes = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
-        _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = count > 1  # an item of one set is in no intersection
-        column = np.cumsum(shared) - 1
-        keep = shared[place]
-        owner, column = np.repeat(np.arange(len(sets)), sizes)[keep], column[place][keep]
-        # items of the same sets stand together, so a slice of them meets few sets
-        edges = int(shared.sum())
-        first, last = np.full(edges, len(sets)), np.zeros(edges, dtype=np.int64)
-        np.minimum.at(first, column, owner)
-        np.maximum.at(last, column, owner)
-        rank = np.empty(edges, dtype=np.int64)
-        rank[np.lexsort((last, first))] = np.arange(edges)
-        column = rank[column]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        width = 2048
-        for low in range(0, edges, width):
-            x, y = np.searchsorted(column, [low, low + width])
-            rows, own = np.unique(owner[x:y], return_inverse=True)
-            part = np.zeros((len(rows), min(width, edges - low)), dtype=np.float32)
-            part[own, column[x:y] - low] = 1
-            common[np.ix_(rows, rows)] += part @ part.T
-        total = sizes[:, None] + sizes[None, :] - common
-        linked = (100 * common >= percent * total) & (comps[:, None] != comps[None, :])
-        parent = list(range(len(sets)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        can = comps[:, None] != comps[None, :]
+        for order in ("pa", "pb", "pc"):
+            can &= _product(lists(order)) > 0
+        some = np.flatnonzero(can.any(axis=1))
         out = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            x, y = root(int(i)), root(int(j))
-            if x != y:
-                parent[y] = x
-                out.append((int(classes[i]), int(classes[j])))
+        if len(some):
+            classes, can, sets = classes[some], can[np.ix_(some, some)], [x for x, use in zip(lists("items"), can.any(axis=1), strict=True) if use]
+            sizes = np.array([len(x) for x in sets])
+            common = _product(sets)
+            linked = can & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+            parent = list(range(len(sets)))
+
+            def root(x):
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+                x, y = root(int(i)), root(int(j))
+                if x != y:
+                    parent[y] = x
+                    out.append((int(classes[i]), int(classes[j])))
         return pa.table([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _cluster_links(crowded: DataFrame, features: DataFrame, percent: int) -> DataFrame:
-    """Links between the classes that share a crowded token, by cells of two blocks."""
+    """Links between the classes that share a crowded token, by cells of two blocks. A
+    block holds classes of one step of size (a link's sizes lie in the same or the next
+    step), so a cluster that chains sizes together is not compared across them."""
     hubs = crowded.groupBy("token").agg(F.min("cls").alias("hub"))
     clusters = components(crowded.join(hubs, "token").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "component").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), "blocks")
-    members = members.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    comps = crowded.select("cls", "comp").distinct()
-    rows = members.join(comps, "cls").join(features.select("cls", "items").dropDuplicates(["cls"]), "cls")
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "items"
-    )
-    return cells.groupBy("cluster", "i", "j").applyInArrow(_cell(percent), "a long, b long").distinct()
-
-
-def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int = 24) -> DataFrame:
+    tokens = crowded.groupBy("cls", "comp", "n").agg(F.collect_set("token").alias("pa"))
+    members = clusters.join(tokens, clusters["node"] == tokens["cls"]).select("cls", F.col("component").alias("cluster"), "comp", "n", "pa", _step(percent).alias("step"))
+    sizes = members.groupBy("cluster", "step").agg(F.greatest(F.ceil(F.count("*") / _BLOCK), F.ceil(F.sum("n") / _BLOCK_ITEMS)).cast("int").alias("blocks"))
+    members = members.join(sizes, ["cluster", "step"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    above = sizes.select("cluster", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
+    below = sizes.select("cluster", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
+    members = members.join(above, ["cluster", "step"], "left").join(below, ["cluster", "step"], "left")
+    block = lambda step, k: F.struct(step.cast("int").alias("step"), k.alias("k"))
+    numbers = lambda name: F.when(F.col(name).isNotNull(), F.sequence(F.lit(0), F.col(name) - 1)).otherwise(F.array().cast("array<int>"))
+    others = F.concat(*(F.transform(numbers(name), lambda k, d=d: block(F.col("step") + d, k)) for name, d in (("blocks", 0), ("blocks_above", 1), ("blocks_below", -1))))
+    here = block(F.col("step"), F.col("own"))
+    cells = members.withColumn("other", F.explode(others)).select("cluster", F.least(here, F.col("other")).alias("i"), F.greatest(here, F.col("other")).alias("j"), "cls", "comp", "pa")
+    rows = cells.join(features.select("cls", "pb", "pc", "items").dropDuplicates(["cls"]), "cls")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_cell(percent), "a long, b long").distinct()
+
+
+def _step(percent: int):
+    """Sizes of sets that can link lie in the same or the next step."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("int") if percent < 100 else F.col("n")
+
+
+def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int = 24, shrink: float = 0.75) -> DataFrame:
     """Links that span the components of the classes."""
-    key = F.struct("cls", "n")
-    hubs = postings.groupBy("token").agg(F.min(key).alias("hub"))
-    pairs = postings.join(hubs, "token").filter((F.col("hub.cls") != F.col("cls")) & _fits(F.col("n"), F.col("hub.n"), percent))
-    tried = stored(pairs.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), "pairs")
-    links = stored(_verified(tried, features, percent), "links")
-    labels = components(links)
-    labelled = postings.join(labels, postings["cls"] == labels["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
-    open_ = stored(labelled.join(split.select("token", "size"), "token"), "open")
+    open_, left = postings.withColumn("comp", F.col("cls")), None
+    links = tried = None
+    for number in itertools.count():
+        salted = F.xxhash64("cls", F.lit(number)) if number else F.col("cls")
+        hubs = open_.groupBy("token").agg(F.min_by(F.struct("cls", "n", "comp"), salted).alias("hub"))
+        pairs = open_.join(hubs, "token").filter((F.col("hub.comp") != F.col("comp")) & _fits(F.col("n"), F.col("hub.n"), percent))
+        pairs = pairs.select(F.greatest("cls", "hub.cls").alias("a"), F.least("cls", "hub.cls").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = stored(_verified(pairs, features, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        labelled = open_.select("token", "cls", "n").join(labels, F.col("cls") == labels["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+        split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+        open_ = stored(labelled.join(split.select("token", "size"), "token"), "open")
+        before, left = left, open_.filter(F.col("size") > few).count()
+        if not left or before is not None and left > shrink * before:
+            break
     rest = open_.filter(F.col("size") <= few)
     a = rest.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     b = rest.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = a.join(b, "token").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(stored(_verified(pairs, features, percent), "links"))
-    crowded = open_.filter(F.col("size") > few)
-    if not crowded.isEmpty():
-        links = links.unionByName(stored(_cluster_links(crowded, features, percent), "links"))
+    if left:
+        links = links.unionByName(stored(_cluster_links(open_.filter(F.col("size") > few), features, percent), "links"))
     return links
 
 
@@ -351,16 +390,6 @@ def join(docs: DataFrame, percent: int = 90, width: int = 3, sketch_bits: int =
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _in_bitmap(docs: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
-    """docs with __tl_near: false means that its key is surely not among keys."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    one = F.expr("1L")
-    bitmap = keys.select(place(F.col(key)).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("__tl_word")).agg(F.bit_or(F.call_function("shiftleft", one, (F.col("b") % 64).cast("int"))).alias("__tl_bits"))
-    near = docs.withColumn("__tl_at", place(F.col(key))).join(F.broadcast(bitmap), F.floor(F.col("__tl_at") / 64) == F.col("__tl_word"), "left")
-    hit = F.call_function("shiftrightunsigned", F.col("__tl_bits"), (F.col("__tl_at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return near.withColumn("__tl_near", F.coalesce(hit, F.lit(False))).drop("__tl_at", "__tl_word", "__tl_bits")
-
-
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one of each group of near-duplicates: the one of
     the smallest id. A row without an id goes by a hash of its text; of rows with one id
@@ -371,7 +400,7 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "
     again = grouped.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__tl_key"))
     # only the few rows whose key may be among these are shuffled
     special = stored(gone.withColumn("__tl_gone", F.lit(True)).unionByName(again.withColumn("__tl_gone", F.lit(False))), "gone")
-    marked = _in_bitmap(own, "__tl_key", special.select("__tl_key"))
+    marked = in_bitmap(own, "__tl_key", special.select("__tl_key"))
     sure = marked.filter(~F.col("__tl_near")).select(docs.columns)
     # an outer join: an anti join would be moved below the bitmap's, to all rows
     flags = special.groupBy("__tl_key").agg(F.max("__tl_gone").alias("__tl_out"))
