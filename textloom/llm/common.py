@@ -56,6 +56,12 @@ def drop_stored(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries that nothing refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

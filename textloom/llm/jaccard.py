@@ -19,8 +19,8 @@ Rounds end when they no longer settle a quarter of what is left. Of the tokens l
 those with at most ``few`` classes give their pairs. The classes of the others are
 gathered to clusters and dealt to cells of two blocks, of classes whose sizes fit. A
 cell first intersects the filters of the three orders for its pairs, as products of
-matrices, then counts the intersections of the sets that have a candidate, and returns a
-forest of the links. So no pairs are emitted there, each pair of a cluster is compared
+matrices; only classes left with a candidate send their sets there, whose intersections
+are counted likewise, and a forest of the links comes back. So no pairs are emitted there, each pair of a cluster is compared
 once, and no pair that could join two components is left out: the components are exact.
 
 Null text and text without words: the set is empty, the size 0, no link. A null id
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, released, stored, text_slices
+from .common import forget, in_bitmap, released, stored, text_slices
 from .graph import components
 
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -63,12 +63,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out)
 
 
+#: Powers for slices of texts of ordinary size; longer ones are made when needed.
+_FIT = 1 << 18
+_UP, _DOWN = _powers(_BASE, _FIT), _powers(_UNBASE, _FIT)
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is faster here than np.unique's hashing."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles, words cut at the six ASCII
     spaces and A-Z lower-cased; all texts' bytes, words and shingles at once."""
@@ -79,9 +92,9 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     # sums of the bytes' values times powers by place, as they wrap around
     total = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[flat] * _powers(_BASE, len(flat) - 1), out=total[1:])
-    h = _mix((total[end] - total[start]) * _powers(_UNBASE, len(flat))[start] + (end - start).astype(np.uint64) * _MULT[1])
-    del total
+    up, down = (_UP, _DOWN) if len(flat) <= _FIT else (_powers(_BASE, len(flat)), _powers(_UNBASE, len(flat)))
+    np.cumsum(_BYTES[flat] * up[: len(flat)], out=total[1:])
+    h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _MULT[1])
     ends = np.cumsum([len(r) + 1 for r in raws])
     first = np.searchsorted(start, np.concatenate([[0], ends]))
     n = max(0, len(h) - width + 1)
@@ -91,7 +104,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(every[a : b - width + 1]))
+            out.append(_unique(every[a : b - width + 1]))
         elif b > a:
             x = np.array([b - a], dtype=np.uint64)
             for k in range(a, b):
@@ -130,7 +143,7 @@ def _sized(width: int, bits: int):
         step = 4096
         with np.errstate(over="ignore"):
             for batch in batches:
-                for low, texts in text_slices(batch, 1):
+                for low, texts in text_slices(batch, 1, _FIT >> 1):
                     n = len(texts)
                     seen = shingle_sets(texts, width)
                     sizes, classes = [len(s) for s in seen], [class_of(s) if len(s) else None for s in seen]
@@ -151,7 +164,7 @@ def _new_sets(batches, width: int):
     seen: set[int] = set()
     with np.errstate(over="ignore"):
         for batch in batches:
-            for _, texts in text_slices(batch, 0):
+            for _, texts in text_slices(batch, 0, _FIT >> 1):
                 if len(seen) > 200_000:
                     seen.clear()
                 fresh = []
@@ -274,35 +287,39 @@ def _product(lists: list[np.ndarray], width: int = 2048) -> np.ndarray:
     return common
 
 
-def _cell(percent: int):
-    """Links within a cell, as a forest: rows (cls, comp, pa, pb, pc, items) of two blocks."""
+def _filtered(table: pa.Table) -> pa.Table:
+    """Those rows (cluster, i, j, cls, comp, pa, pb, pc) of a cell that share a token with
+    another one, of another component, under each of the three orders."""
+    comps = table.column("comp").to_numpy()
+    can = comps[:, None] != comps[None, :]
+    for order in ("pa", "pb", "pc"):
+        can &= _product([np.unique(x.values.to_numpy()) for x in table.column(order)]) > 0
+    return table.filter(pa.array(can.any(axis=1))).select(["cluster", "i", "j", "cls", "comp"])
+
+
+def _links(percent: int):
+    """Links within a cell, as a forest: rows (cls, comp, items) of two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = lambda name: [np.unique(x.values.to_numpy()) for x in table.column(name)]
         classes, comps = table.column("cls").to_numpy(), table.column("comp").to_numpy()
-        can = comps[:, None] != comps[None, :]
-        for order in ("pa", "pb", "pc"):
-            can &= _product(lists(order)) > 0
-        some = np.flatnonzero(can.any(axis=1))
+        sets = [x.values.to_numpy() for x in table.column("items")]
+        sizes = np.array([len(x) for x in sets])
+        common = _product(sets)
+        linked = (comps[:, None] != comps[None, :]) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+        parent = list(range(len(sets)))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         out = []
-        if len(some):
-            classes, can, sets = classes[some], can[np.ix_(some, some)], [x for x, use in zip(lists("items"), can.any(axis=1), strict=True) if use]
-            sizes = np.array([len(x) for x in sets])
-            common = _product(sets)
-            linked = can & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
-            parent = list(range(len(sets)))
-
-            def root(x):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-                x, y = root(int(i)), root(int(j))
-                if x != y:
-                    parent[y] = x
-                    out.append((int(classes[i]), int(classes[j])))
+        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            x, y = root(int(i)), root(int(j))
+            if x != y:
+                parent[y] = x
+                out.append((int(classes[i]), int(classes[j])))
         return pa.table([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], names=["a", "b"])
 
     return run
@@ -326,8 +343,12 @@ def _cluster_links(crowded: DataFrame, features: DataFrame, percent: int) -> Dat
     others = F.concat(*(F.transform(numbers(name), lambda k, d=d: block(F.col("step") + d, k)) for name, d in (("blocks", 0), ("blocks_above", 1), ("blocks_below", -1))))
     here = block(F.col("step"), F.col("own"))
     cells = members.withColumn("other", F.explode(others)).select("cluster", F.least(here, F.col("other")).alias("i"), F.greatest(here, F.col("other")).alias("j"), "cls", "comp", "pa")
-    rows = cells.join(features.select("cls", "pb", "pc", "items").dropDuplicates(["cls"]), "cls")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(_cell(percent), "a long, b long").distinct()
+    near = stored(_only(features, "cls", crowded.select("cls")).dropDuplicates(["cls"]), "members")
+    cells = cells.join(near.select("cls", "pb", "pc"), "cls").select("cluster", "i", "j", "cls", "comp", "pa", "pb", "pc")
+    place = "struct<step:int,k:int>"
+    left = stored(cells.groupBy("cluster", "i", "j").applyInArrow(_filtered, f"cluster long, i {place}, j {place}, cls long, comp long"), "cells")
+    rows = left.join(near.select("cls", "items"), "cls").select("cluster", "i", "j", "cls", "comp", "items")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_links(percent), "a long, b long").distinct()
 
 
 def _step(percent: int):
@@ -353,6 +374,7 @@ def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int
         split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
         open_ = stored(labelled.join(split.select("token", "size"), "token"), "open")
         before, left = left, open_.filter(F.col("size") > few).count()
+        forget(postings.sparkSession)
         if not left or before is not None and left > shrink * before:
             break
     rest = open_.filter(F.col("size") <= few)
