@@ -5,11 +5,11 @@ link when their sets' Jaccard similarity is at least ``percent`` / 100.
 
 Documents with equal sets form a class, which takes part once. If a set x links to
 any other, they share one of the first ``n - ceil(t n) + 1`` shingles of x under any
-total order. Three orders put rare shingles first, each by a sketch of its own of the
-counts over all documents, so what one sketch takes for rare by chance the others do
-not. The classes that share a prefix token of order A are candidates; a pair must share
+total order. Three orders put rare shingles first, by the levels (powers of the root of
+two) of a sketch of the counts over all documents, and shingles of one level by a hash of
+the order's own. The classes that share a prefix token of order A are candidates; a pair must share
 one under B and C as well. Then the eighth part of both sets whose hashes end in three
-zero bits bounds their intersection, and only pairs that can still link fetch the sets.
+zero bits (kept as 32 bits each) bounds their intersection, and only pairs that can still link fetch the sets.
 
 Only components are asked for, so not all pairs of a token are made. In rounds, every
 class is compared with one hub of each of its tokens, another one each round; links
@@ -49,6 +49,7 @@ from .graph import components
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 _ORDERS = [np.uint64(0x9FB21C651E98DF25), np.uint64(0x94D049BB133111EB), np.uint64(0xBF58476D1CE4E5B9)]
+_SLOT = np.uint64(0xA0761D6478BD642F)
 #: Words are hashed as polynomials of their bytes' values, modulo 2^64.
 _BYTES = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE, _UNBASE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
@@ -115,15 +116,16 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def slot(found: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The place of each shingle in the sketch of an order."""
-    return ((found * _ORDERS[order]) >> np.uint64(64 - bits)).astype(np.int64) + (order << bits)
+def slot(found: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each shingle in the sketch."""
+    return ((found * _SLOT) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def prefix(found: np.ndarray, order: int, bits: int, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set under an order: rare ones first, then by hash."""
+def prefixes(found: np.ndarray, orders: tuple[int, ...], bits: int, levels: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The first shingles of a set under each order: low levels first, then by hash."""
     p = prefix_size(len(found), percent)
-    return found[np.lexsort((found * _ORDERS[order], counts[slot(found, order, bits)]))[:p]]
+    level = levels[slot(found, bits)].astype(np.uint64) << np.uint64(56)
+    return [found[np.argpartition(level | ((found * _ORDERS[k]) >> np.uint64(8)), p - 1)[:p]] for k in orders]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -134,30 +136,51 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+_STEP = 4096
+_SIZED = "doc_id long, n int, cls long, sk_from int, sk binary"
+
+
 def _sized(width: int, bits: int):
     """Per document size and class; at the end of a partition its sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sk_from", pa.int32()), ("sk", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("sk_from", pa.int32()), ("sk", pa.binary())])
 
     def run(batches):
-        sketch = np.zeros(3 << bits, dtype=np.int64)
-        step = 4096
+        sketch = np.zeros(1 << bits, dtype=np.uint32)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for low, texts in text_slices(batch, 1, _FIT >> 1):
                     n = len(texts)
                     seen = shingle_sets(texts, width)
                     sizes, classes = [len(s) for s in seen], [class_of(s) if len(s) else None for s in seen]
-                    every = np.concatenate(seen)
-                    for order in range(3):
-                        found, times = np.unique(slot(every, order, bits), return_counts=True)
-                        sketch[found] += times
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
-        rows = [(k, np.minimum(sketch[k : k + step], 2**31 - 1)) for k in range(0, len(sketch), step) if sketch[k : k + step].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=schema)
+                    np.add.at(sketch, slot(np.concatenate(seen), bits), 1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        for low in range(0, len(sketch), 64 * _STEP):
+            rows = [(k, np.minimum(sketch[k : k + _STEP], 65535).astype("<u2").tobytes()) for k in range(low, min(low + 64 * _STEP, len(sketch)), _STEP) if sketch[k : k + _STEP].any()]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     return released(run)
 
 
+def _levels(batches):
+    """Sketch rows sorted by place, added up and brought to levels of one byte."""
+
+    def done():
+        level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["sk_from", "levels"])
+
+    now, total = None, None
+    for batch in batches:
+        for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(raw.as_buffer(), dtype="<u2")
+            if at != now:
+                if now is not None:
+                    yield done()
+                now, total = at, np.zeros(len(part), dtype=np.int64)
+            total += part
+    if now is not None:
+        yield done()
+
+
 def _new_sets(batches, width: int):
     """Lists of (class, set) of the texts whose class this partition has not met before
     (as far as a bounded memory tells: a class may come again)."""
@@ -182,7 +205,7 @@ def _postings(width: int, percent: int, bits: int, shared):
 
     def run(batches):
         for fresh in _new_sets(batches, width):
-            tokens = [prefix(s, 0, bits, shared.value, percent) for _, s in fresh]
+            tokens = [prefixes(s, (0,), bits, shared.value, percent)[0] for _, s in fresh]
             many = [len(t) for t in tokens]
             columns = np.concatenate(tokens).view(np.int64), np.repeat(np.array([c for c, _ in fresh], dtype=np.int64), many), np.repeat(np.array([len(s) for _, s in fresh], dtype=np.int32), many)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "cls", "n"])
@@ -190,21 +213,23 @@ def _postings(width: int, percent: int, bits: int, shared):
     return released(run)
 
 
-_FEATURES = "cls long, n int, pb array<int>, pc array<int>, part array<long>, items array<long>"
+_FEATURES = "cls long, n int, pb array<int>, pc array<int>, part array<int>, items array<long>"
 
 
 def _features(width: int, percent: int, bits: int, shared):
     """(cls, n, prefixes under B and C, the eighth part, the set) of each document."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("pb", pa.list_(pa.int32())), ("pc", pa.list_(pa.int32())), ("part", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("pb", pa.list_(pa.int32())), ("pc", pa.list_(pa.int32())), ("part", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
         for fresh in _new_sets(batches, width):
             for low in range(0, len(fresh), 500):
                 out: list[list] = [[] for _ in schema]
                 for c, s in fresh[low : low + 500]:
-                    # 32 bits of a token are enough to ask whether none is shared
-                    short = [(prefix(s, order, bits, shared.value, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2)]
-                    for column, value in zip(out, [c, len(s), *short, s[s & np.uint64(7) == 0].view(np.int64), s.view(np.int64)], strict=True):
+                    # 32 bits of a token are enough to ask whether none is shared, and how
+                    # many at most (equal ones stay in the list, so none is undercounted)
+                    eighth = s[s & np.uint64(7) == 0]
+                    short = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (*prefixes(s, (1, 2), bits, shared.value, percent), eighth)]
+                    for column, value in zip(out, [c, len(s), *short, s.view(np.int64)], strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -228,7 +253,9 @@ def _verified(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
         return pairs.join(left, "a").join(right, "b")
 
     both = sides(pairs, ("pb", "pc", "part"))
-    most = F.size(F.array_intersect("part_a", "part_b")) + F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b"))
+    # equal 32 bits within a part are one value to array_intersect: what it lacks is added
+    twice = lambda x: F.size(f"part_{x}") - F.size(F.array_distinct(f"part_{x}"))
+    most = F.size(F.array_intersect("part_a", "part_b")) + F.least(twice("a"), twice("b")) + F.least(F.col("n_a") - F.size("part_a"), F.col("n_b") - F.size("part_b"))
     can = F.arrays_overlap("pb_a", "pb_b") & F.arrays_overlap("pc_a", "pc_b") & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
     left = stored(both.filter(can).select("a", "b").distinct(), "possible")
     shared = F.size(F.array_intersect("items_a", "items_b"))
@@ -388,16 +415,17 @@ def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int
     return links
 
 
-def join(docs: DataFrame, percent: int = 90, width: int = 3, sketch_bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, percent: int = 90, width: int = 3, sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = stored(own.mapInArrow(_sized(width, sketch_bits), "doc_id long, n int, cls long, sk_from int, sk array<int>"), "sized")
-    sketch = sized.filter("sk_from is not null").select("sk_from", F.posexplode("sk")).groupBy((F.col("sk_from") + F.col("pos")).alias("at")).agg(F.sum("col").alias("n")).toArrow()
-    counts = np.zeros(3 << sketch_bits, dtype=np.int64)
-    counts[sketch.column(0).to_numpy()] = sketch.column(1).to_numpy()
+    sized = stored(own.mapInArrow(_sized(width, sketch_bits), _SIZED), "sized")
+    parts = sized.filter("sk_from is not null").select("sk_from", "sk").repartition("sk_from").sortWithinPartitions("sk_from")
+    levels = np.zeros(1 << sketch_bits, dtype=np.uint8)
+    for at, raw in zip(*(c.to_pylist() for c in parts.mapInArrow(_levels, "sk_from int, levels binary").toArrow().columns), strict=True):
+        levels[at : at + len(raw)] = np.frombuffer(raw, dtype=np.uint8)
     rows = sized.filter("sk_from is null").select("doc_id", "n", "cls")
-    shared = spark.sparkContext.broadcast(counts)
+    shared = spark.sparkContext.broadcast(levels)
     made = own.select("text").mapInArrow(_postings(width, percent, sketch_bits, shared), "token long, cls long, n int")
     postings = stored(_shared_postings(made, percent), "postings")
     reps = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
