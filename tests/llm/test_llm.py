@@ -348,13 +348,41 @@ def test_pieces_are_the_best_path(spark, odd, empty):
     for r in pieces.encode_words(frame.unionByName(extra), *table).collect():
         if r.word != pieces.SPACE:
             assert r.ids == own.encode(r.word.replace(pieces.SPACE, " ")[1:])
-    for text in ("", "a", " a", "a  b ", "  ", "a b"):
-        assert "".join(pieces.words_of(text)) == (pieces.SPACE + text.replace(" ", pieces.SPACE) if text else "")
-    whole, small = (sorted(map(tuple, pieces.encode_digest(odd.filter("doc_id is not null"), path, head=h).collect())) for h in (1 << 19, 3))
+    names = [r[0] for r in pieces.pieces_of(own)]
+    for text in ("", "a", " a", "a  b ", "  ", "a b", "x.y 12"):
+        assert "".join(pieces.words_of(text, names)) == (pieces.SPACE + text.replace(" ", pieces.SPACE) if text else "")
+    whole, small = (sorted(map(tuple, pieces.encode_digest(odd.filter("doc_id is not null"), path, head=h).collect())) for h in (1 << 20, 3))
     assert whole == small and len(whole) == len(ODD) - 1
     assert pieces.encode_digest(empty, path).count() == 0
 
 
+def test_documents_get_the_librarys_ids(spark, empty):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [r[0] for r in pieces.pieces_of(library)]
+    rng = random.Random(8)
+    texts = ["", None, " ", "a", "Hello  world, it's 1234 日本.\n\tx", "the " * 3000, "aaaaaaaa" * 40, "e\u0301 🎉🎉 ñ"] + [" ".join("".join(rng.choice("theraionéd.,1-") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(60))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*texts, texts[4]])] + [(None, "no id", "x")], "doc_id long, text string, key string")
+    want = {k: library.encode(t or "") for k, t in enumerate([*texts, texts[4]])} | {None: library.encode("no id")}
+    got = {r.doc_id: r.ids for r in pieces.encode_documents(docs, path).collect()}
+    assert got == want
+    for r in pieces.encode_digest(docs, path, head=20).collect():
+        text = "no id" if r.doc_id is None else [*texts, texts[4]][r.doc_id] or ""
+        words = pieces.words_of(text, names)
+        digest = 0
+        for k, w in enumerate(words):
+            ids = library.encode("\x01" + w.replace("▁", " "))[len(library.encode("\x01")) :]
+            digest += zlib.crc32(np.array(ids, dtype="<i4").tobytes()) % 2147483647 * pow(16807, k, 2147483647)
+        assert (r.n_words, r.n_pieces, r.ids_digest, r.round_trip) == (len(words), len(want[r.doc_id]), digest % 2147483647, True)
+    assert pieces.encode_documents(empty, path).count() == 0
+    assert pieces.place_weight(np.array([0, 1, 5, 70_000])).tolist() == [pow(16807, k, 2147483647) for k in (0, 1, 5, 70_000)]
+    assert pieces.falling(pieces.pieces_of(library)) == []
+    # abc is made of b + c at 1 or, if c is taken late, after ab at 3: joins of rising score
+    assert pieces.falling([("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("bc", 3, -5.0), ("abc", 4, -1.0)]) == ["abc"]
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
