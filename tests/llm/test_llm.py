@@ -168,6 +168,45 @@ def test_forward_backward_is_enumeration():
         assert np.allclose(language.posteriors([e, e[:1]], model)[0], total / total.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_expected_moves_are_enumeration():
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b", "c"], {}, np.zeros((1, 3)), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    sequences = [rng.random((n, 3)).astype(np.float32) for n in (4, 1, 3)]
+    want = np.zeros((3, 3))
+    for e in sequences:
+        found, total = np.zeros((3, 3)), 0.0
+        for path in np.ndindex(*(3,) * len(e)):
+            w = np.exp(model.start[path[0]]) * np.prod([e[k, s] for k, s in enumerate(path)]) * np.prod([np.exp(model.moves[a, b]) for a, b in zip(path, path[1:])])
+            total += w
+            for a, b in zip(path, path[1:]):
+                found[a, b] += w
+        want += found / total
+    got = np.zeros((3, 3))
+    language.posteriors(sequences, model, got)
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_words_of_switched_texts_are_labelled(spark, odd):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    model = language.fit(docs, language.Settings(sequences=600))
+    text = "bab bo babo ba bab bo obab ba KIK tik itki, kitti ki kik tik."
+    rows = language.label_words(spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "12", "x")], "doc_id long, text string, labels string"), model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[1].words == text.lower().replace(",", "").replace(".", "").split() and got[1].labels == ["aa"] * 8 + ["cc"] * 7
+    assert got[2].words == [] == got[3].labels
+    long = "bab bo ba " * 3000 + "kik tik " * 4000
+    labels = language.label_words(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first().labels
+    assert labels == ["aa"] * 9000 + ["cc"] * 8000
+    assert {x for r in language.label_words(odd, None).collect() for x in r.labels} == {"und"}
+
+
+def test_more_languages_than_bits(spark):
+    rng = random.Random(2)
+    rows = [(70 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('xyz')}" for _ in range(12)), f"l{k:02d}") for k in range(70) for i in range(6)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Settings(sequences=900, epochs=2))
+    assert len(model.langs) == 70
+
+
 # quality
 
 

@@ -10,12 +10,16 @@ with most posterior mass; its score is that language's share.
 Training: a bounded sample (``docs_per_lang`` documents a language, ``spans_per_doc``
 spans of ``span_words`` words from anywhere in them, documented parameters) of rows
 with a label; spans of different languages are joined into switched sequences, from
-which the transitions are learnt. The model is a table of ``BUCKETS`` rows, of fixed
-size whatever the corpus. Prediction reads whole texts and nothing but texts.
+which the transitions are learnt by the exact gradient. The model is a table of
+``BUCKETS`` rows with a column for each language, whatever the corpus. Prediction reads
+whole texts and nothing but texts; ``label_words`` returns the language of every word.
 
 A null text, or one without a letter, is ``und`` with score 0. Without any labelled
-row everything is ``und``. Equal texts get equal results; ties go to the first label
-in alphabetic order.
+row, so for an empty table, everything is ``und``. Equal texts, repeated rows among them,
+get equal results; ties go to the first label in alphabetic order. A very long text is
+read in windows and needs memory in proportion to itself. A row without an id is judged
+but not learnt from. Further columns, whatever their names, are not read; keep_known()
+returns them unchanged.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released, text_slices
+
 BUCKETS = 1 << 17
-MAX_LANGS = 64
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,7 +86,8 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     owner = np.repeat(every, sizes)
     left = np.repeat(first + sizes, sizes) - np.arange(len(codes))  # letters from here to the word's end
     at = [every, every]
-    bits = np.fromiter((lexicon.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+    # the languages whose lexicons hold the word, as a number whatever their number
+    bits = np.fromiter((hash(lexicon.get(w, 0)) & 0x7FFFFFFFFFFFFFFF for w in words), dtype=np.uint64, count=len(words))
     found = [np.zeros(len(words), dtype=np.uint64), _mix(bits, 9)]
     gram = codes
     for k in (1, 2, 3):
@@ -110,8 +116,8 @@ def _mix(x: np.ndarray, kind: int) -> np.ndarray:
 def emissions(words: list[str], model: Model) -> np.ndarray:
     """Scores of distinct words, one row each."""
     out = np.zeros((len(words), len(model.langs)), dtype=np.float32)
-    for start in range(0, len(words), 50_000):
-        part = words[start : start + 50_000]
+    for start in range(0, len(words), 10_000):
+        part = words[start : start + 10_000]
         at, ids = features(part, model.lexicon)
         for k in range(out.shape[1]):
             out[start : start + len(part), k] = np.bincount(at, weights=model.weights[ids, k], minlength=len(part))
@@ -123,9 +129,10 @@ def factors(scores: np.ndarray) -> np.ndarray:
     return np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
 
 
-def posteriors(scores: list[np.ndarray], model: Model) -> list[np.ndarray]:
+def posteriors(scores: list[np.ndarray], model: Model, pairs: np.ndarray | None = None) -> list[np.ndarray]:
     """Forward-backward over sequences of emission factors, all at once: the share of
-    each label at each word. Scaled, so length does not matter."""
+    each label at each word. Scaled, so length does not matter. The expected number of
+    moves from each label to each is added to ``pairs``."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
     steps, count, labels = int(lengths[0]), len(order), len(model.langs)
@@ -152,7 +159,11 @@ def posteriors(scores: list[np.ndarray], model: Model) -> list[np.ndarray]:
         p *= beta[:n]
         p /= (p @ ones)[:, None]
         if t:
-            b = (e[t, :n] * beta[:n]) @ back
+            after = e[t, :n] * beta[:n]
+            if pairs is not None:  # alpha holds the forward shares of t - 1 still
+                found = alpha[t - 1, :n, :, None] * moves[None] * after[:, None, :]
+                pairs += (found / np.maximum(found.sum(axis=(1, 2), keepdims=True), 1e-30)).sum(axis=0)
+            b = after @ back
             beta[:n] = b / (b @ ones)[:, None]
     out: list = [None] * count
     for k, i in enumerate(order):
@@ -207,20 +218,15 @@ def train(spans: list[tuple[str, list[str]]], settings: Settings) -> Model | Non
             own = np.add.reduceat(model.weights[ids], rows, axis=0)
             cuts = np.cumsum([len(s) for s, _ in some])[:-1]
             scores = np.split(factors(own)[inverse], cuts)
-            post = posteriors(scores, model)
+            grad_moves = np.zeros((labels, labels))
+            post = posteriors(scores, model, grad_moves)
             truth = np.eye(labels, dtype=np.float32)
             grad_word = np.zeros_like(own)
             np.add.at(grad_word, inverse, np.concatenate(post) - truth[np.concatenate([t for _, t in some])])
-            grad_moves, grad_start = np.zeros((labels, labels)), np.zeros(labels)
-            moves = np.exp(model.moves)
-            for p, s, (_, t) in zip(post, scores, some, strict=True):
+            grad_start = np.zeros(labels)
+            for p, (_, t) in zip(post, some, strict=True):
                 grad_start += p[0] - truth[t[0]]
-                if len(t) > 1:
-                    # expected moves by the posteriors of neighbours under the learnt moves
-                    pair = p[:-1, :, None] * moves[None] * (p[1:] / np.maximum(p[:-1] @ moves, 1e-9))[:, None, :]
-                    pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-12)
-                    grad_moves += pair.sum(axis=0)
-                    np.add.at(grad_moves, (t[:-1], t[1:]), -1)
+                np.add.at(grad_moves, (t[:-1], t[1:]), -1)
             g = np.repeat(grad_word, sizes, axis=0)
             order = np.argsort(ids, kind="stable")
             touched, first = np.unique(ids[order], return_index=True)
@@ -260,17 +266,18 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     settings = settings or Settings()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(training_rows(docs, id_col) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
     keep = F.lit(False)
     for lang, n in sizes.items():
         share = min(1.0, settings.docs_per_lang / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
     made = own.filter(keep).select("lang", "text").mapInArrow(spans_of(settings), "lang string, words array<string>")
     bound = 2 * len(sizes) * settings.docs_per_lang * settings.spans_per_doc
-    return train([(r[0], r[1]) for r in made.limit(bound).collect()], settings)
+    # by a hash, so that the same rows are left out if the bound is met
+    return train([(r[0], r[1]) for r in made.orderBy(F.xxhash64("lang", "words"), "lang", "words").limit(bound).collect()], settings)
 
 
-_KNOWN = 400_000
+_KNOWN = 150_000
 
 
 class _Chunks(dict):
@@ -317,12 +324,13 @@ class Scorer:
             self.table = np.concatenate([self.table, factors(emissions(list(islice(self.words, len(self.words) - new, None)), self.model))])
         return out
 
-    def labels(self, texts: list[str | None], words_at_once: int = 400_000) -> list[tuple[str, float]]:
-        """A long text is a row of windows. Each reads as many words beyond both its
-        ends as the learnt transitions need to forget, so its shares are those of the
-        whole chain to the precision of the numbers."""
-        ids = self.ids([t or "" for t in texts])
+    def shares(self, ids: list[np.ndarray]):
+        """Yields (text, first word, shares of the languages at each word from there). A
+        long text is a row of windows. Each reads as many words beyond both its ends as
+        the learnt transitions need to forget, so its shares are those of the whole chain
+        to the precision of the numbers."""
         beyond = memory(self.model)
+        words_at_once = max(20_000, 1_000_000 // len(self.model.langs))
         core = max(256, 4 * beyond)
         parts = []
         for i, x in enumerate(ids):
@@ -330,7 +338,6 @@ class Scorer:
                 end = at + core if len(x) > core + beyond else len(x)
                 parts.append((i, max(0, at - beyond), at, min(end, len(x)), min(end + beyond, len(x))))
         parts.sort(key=lambda p: p[1] - p[4])
-        total = np.zeros((len(texts), len(self.model.langs)))
         at = 0
         while at < len(parts):
             n = max(1, words_at_once // (parts[at][4] - parts[at][1]))
@@ -338,40 +345,62 @@ class Scorer:
             at += n
             shares = posteriors([self.table[ids[i][low:high]] for i, low, _, _, high in some], self.model)
             for (i, low, start, end, _), p in zip(some, shares, strict=True):
-                total[i] += p[start - low : end - low].sum(axis=0, dtype=np.float64)
+                yield i, start, p[start - low : end - low]
+
+    def labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        ids = self.ids([t or "" for t in texts])
+        total = np.zeros((len(texts), len(self.model.langs)))
+        for i, _, p in self.shares(ids):
+            total[i] += p.sum(axis=0, dtype=np.float64)
         out = []
         for x, t in zip(ids, total, strict=True):
             k = int(t.argmax())
             out.append((self.model.langs[k], float(min(1.0, t[k] / len(x)))) if len(x) else (UNKNOWN, 0.0))
         return out
 
+    def word_labels(self, texts: list[str | None]) -> list[list[int]]:
+        """The number of each word's likeliest language."""
+        ids = self.ids([t or "" for t in texts])
+        out = [np.zeros(len(x), dtype=np.int64) for x in ids]
+        for i, start, p in self.shares(ids):
+            out[i][start : start + len(p)] = p.argmax(axis=1)
+        return [x.tolist() for x in out]
+
 
 def memory(model: Model) -> int:
     """Words after which the chain has forgotten where it began, to one part in 10^8:
-    by the contraction of the transitions in Hilbert's metric, whatever the words."""
+    by the contraction of the transitions in Hilbert's metric, whatever the words. A chain
+    that never forgets is read as a whole."""
     m = model.moves.astype(np.float64)
     spread = max(0.0, float(np.max(m[:, None, :, None] + m[None, :, None, :] - m[None, :, :, None] - m[:, None, None, :])))
     rate = np.tanh(spread / 4)
-    return 1 if rate < 1e-3 else int(min(5000, np.ceil(np.log(1e-8) / np.log(rate))))
+    if rate < 1e-3:
+        return 1
+    return int(np.ceil(np.log(1e-8) / np.log(rate))) if rate < 1 - 1e-9 else 1 << 40
 
 
 _scorers: dict[int, Scorer] = {}
 
 
 def scorer(model: Model) -> Scorer:
-    """One scorer a worker process."""
+    """One scorer a worker process, until the task ends."""
     if model.key not in _scorers:
         _scorers.clear()
         _scorers[model.key] = Scorer(model)
     return _scorers[model.key]
 
 
-def _judge(shared, texts: list[str | None]) -> list[tuple[str, float]]:
+def forget_scorers() -> None:
+    _scorers.clear()
+
+
+def _judge(shared, batch: pa.RecordBatch, at: int) -> list[tuple[str, float]]:
     if shared.value is None:
-        return [(UNKNOWN, 0.0)] * len(texts)
+        return [(UNKNOWN, 0.0)] * batch.num_rows
     found, own = [], scorer(shared.value)
-    for at in range(0, len(texts), 2000):
-        found += own.labels(texts[at : at + 2000])
+    for _, texts in text_slices(batch, at):
+        found += own.labels(texts)
     return found
 
 
@@ -381,10 +410,29 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         for batch in batches:
-            found = _judge(shared, batch.column(1).to_pylist())
+            found = _judge(shared, batch, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget_scorers), "doc_id long, lang_pred string, score double")
+
+
+def label_words(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, words and labels (arrays) of every document: the likeliest language of each
+    word, so where a text switches. Without a model every label is ``und``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))])
+
+    def run(batches):
+        for batch in batches:
+            for low, texts in text_slices(batch, 1):
+                words = [[w for c in (t or "").split() for w in map(letters_only, words_of(c)) if w] for t in texts]
+                if shared.value is None:
+                    labels = [[UNKNOWN] * len(w) for w in words]
+                else:
+                    labels = [[shared.value.langs[k] for k in found] for found in scorer(shared.value).word_labels(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(words, schema.field(1).type), pa.array(labels, schema.field(2).type)], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget_scorers), "doc_id long, words array<string>, labels array<string>")
 
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -395,10 +443,10 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
 
     def run(batches):
         for batch in batches:
-            found = _judge(shared, batch.column(text_at).to_pylist())
+            found = _judge(shared, batch, text_at)
             keep = pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
             langs = [own if own is not None else got for own, (got, _) in zip(batch.column(lang_at).to_pylist(), found, strict=True)]
             columns = [pa.array(langs, pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run, forget_scorers), docs.schema)
