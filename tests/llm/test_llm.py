@@ -455,9 +455,21 @@ def test_packing(spark, odd, empty):
 def test_genetic_packing_is_near_the_bound(spark):
     rng = random.Random(9)
     sizes = [rng.randrange(1, 100) for _ in range(900)]
-    bins = packing.evolve(sizes, 100, seed=1)
+    herd = packing.first_herd(sizes, 100, rng, 4)
+    before = [x.fitness() for x in herd]
+    calls = []
+    cross = packing.crossover
+    packing.crossover = lambda *x: calls.append(1) or cross(*x)
+    try:
+        herd = packing.evolve(herd, 1, 20)
+    finally:
+        packing.crossover = cross
+    assert len(calls) >= 10 and herd[0].fitness() >= max(before)
+    bins = list(herd[0].bins.values())
     assert sorted(i for b in bins for i in b) == list(range(900)) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
     assert len(bins) <= math.ceil(sum(sizes) / 100) * 1.02
+    again = packing.from_genes(packing.to_genes(herd[0]), sizes, 100)
+    assert sorted(map(sorted, again.bins.values())) == sorted(map(sorted, bins)) and again.fitness() == pytest.approx(herd[0].fitness())
     a, b = packing.Bins(sizes, 100), packing.Bins(sizes, 100)
     a.best_fit(list(range(900)))
     b.best_fit(list(range(899, -1, -1)))
@@ -468,6 +480,26 @@ def test_genetic_packing_is_near_the_bound(spark):
     assert len(placed) == 900 and len({r.sequence_id for r in placed}) <= math.ceil(sum(sizes) / 100) * 1.04
 
 
+def test_elites_migrate_and_no_shard_takes_all_items(spark):
+    made = packing._epoch(10, 0, 1, 0)
+    sizes = np.array([5, 5, 5, 5], dtype=np.int64)
+    genes = lambda *home: np.array(home, dtype="<i4").tobytes()
+    rows = [
+        {"shard": 3, "island": 1, "migrant": False, "items": sizes.tobytes(), "sizes": sizes.tobytes(), "genes": [genes(0, 0, 1, 2), genes(0, 1, 2, 3)]},
+        {"shard": 3, "island": 1, "migrant": True, "items": None, "sizes": None, "genes": [genes(0, 1, 0, 1)]},
+    ]
+    import pyarrow as pa
+
+    got = made(pa.Table.from_pylist(rows, schema=packing._ISLAND_SCHEMA)).to_pylist()[0]
+    assert len(got["genes"]) == 2 and len(set(np.frombuffer(got["genes"][0], dtype="<i4"))) == 2
+    # items that no second one fits beside, and equal ones
+    items = spark.createDataFrame([(k, 2100) for k in range(1500)], "item long, length long")
+    placed = packing.pack(items, 4096, island_items=100)
+    assert placed.select("sequence_id").distinct().count() == 1500 == placed.count()
+    dealt = items.groupBy(F.pmod(F.xxhash64("item", F.lit(0)), F.lit(15))).count()
+    assert dealt.agg(F.max("count")).first()[0] < 200
+
+
 # licences
 
 
