@@ -37,12 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that go to a Python worker at once while a frame is stored. Texts of a few kB make
+#: batches of a few MB, on both sides; Spark's 10,000 rows would take tens.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: it cuts the
     lineage, so that a lost executor costs only the work behind the cut."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) < BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

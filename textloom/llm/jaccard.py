@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, in_bitmap, released, stored, text_slices
+from .common import forget, in_bitmap, released, stored, text_slices, trim
 from .graph import components
 
 _MULT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -321,6 +321,7 @@ def _filtered(table: pa.Table) -> pa.Table:
     can = comps[:, None] != comps[None, :]
     for order in ("pa", "pb", "pc"):
         can &= _product([np.unique(x.values.to_numpy()) for x in table.column(order)]) > 0
+    trim()
     return table.filter(pa.array(can.any(axis=1))).select(["cluster", "i", "j", "cls", "comp"])
 
 
@@ -347,6 +348,7 @@ def _links(percent: int):
             if x != y:
                 parent[y] = x
                 out.append((int(classes[i]), int(classes[j])))
+        trim()
         return pa.table([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], names=["a", "b"])
 
     return run
