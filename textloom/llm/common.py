@@ -89,10 +89,19 @@ def trim() -> None:
         pass
 
 
-def released(run: Callable, clear: Callable[[], None] | None = None) -> Callable:
-    """A mapInArrow function that ends with clear() and trim(), whatever happens."""
+#: What the worker's last operator keeps between its tasks, to be dropped by another's.
+_kept: list[Callable[[], None]] = []
+
+
+def released(run: Callable, clear: Callable[[], None] | None = None, drop: Callable[[], None] | None = None) -> Callable:
+    """A mapInArrow function that ends with clear() and trim(), whatever happens. What
+    drop() frees stays for the next task of the operator, not for those of others."""
 
     def wrapped(batches):
+        for other in _kept:
+            if drop is None or (other.__module__, other.__qualname__) != (drop.__module__, drop.__qualname__):
+                other()
+        _kept[:] = [drop] if drop else []
         try:
             yield from run(batches)
         finally:
@@ -103,7 +112,7 @@ def released(run: Callable, clear: Callable[[], None] | None = None) -> Callable
     return wrapped
 
 
-def text_slices(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[tuple[int, list]]:
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[tuple[int, list]]:
     """(first row, texts) of runs of rows with at most so many bytes of text, or one row."""
     column = batch.column(at)
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

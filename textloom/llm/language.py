@@ -271,13 +271,13 @@ def fit(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id
     for lang, n in sizes.items():
         share = min(1.0, settings.docs_per_lang / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    made = own.filter(keep).select("lang", "text").mapInArrow(spans_of(settings), "lang string, words array<string>")
+    made = own.filter(keep).select("lang", "text").mapInArrow(released(spans_of(settings)), "lang string, words array<string>")
     bound = 2 * len(sizes) * settings.docs_per_lang * settings.spans_per_doc
     # by a hash, so that the same rows are left out if the bound is met
     return train([(r[0], r[1]) for r in made.orderBy(F.xxhash64("lang", "words"), "lang", "words").limit(bound).collect()], settings)
 
 
-_KNOWN = 150_000
+_KNOWN = 80_000
 
 
 class _Chunks(dict):

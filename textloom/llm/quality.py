@@ -45,7 +45,7 @@ ORDER = 4
 CLASSES = 0x110000
 BITS = 21
 #: Characters of text that a task looks at together.
-PART = 1_000_000
+PART = 500_000
 #: N-grams that are broadcast (32 bytes each).
 HEAD = 1 << 18
 _MASK = (1 << BITS) - 1
@@ -138,7 +138,7 @@ def _counts(batches):
             hi, lo, gram, _ = keys_of([parts[i][-1] for i in places], [parts[i][-2] for i in places])
             held.setdefault(lang, []).append((hi, lo, np.bincount(gram, minlength=len(hi))))
             size += len(hi)
-        if size > 1_500_000:
+        if size > 700_000:
             yield from flush()
             held, size = {}, 0
     yield from flush()
