@@ -40,14 +40,17 @@ def tagging_context(tokens: DataFrame) -> DataFrame:
     )
 
 
-def entity_context(tokens: DataFrame, base_words: Iterable[str] = ()) -> DataFrame:
-    """The seventeen features of each token, given tags and (gold or decoded) labels as
-    history. ``base_words`` is the word list of the feature en-wordlist."""
+def entity_context(tokens: DataFrame, base_words: Iterable[str] = (), consistent_history: bool = False) -> DataFrame:
+    """The seventeen features of each token, given tags and gold labels as history.
+    ``base_words`` is the word list of the feature en-wordlist. The history of training
+    is the whole label (B-X), that of decoding only its first part (B); with
+    ``consistent_history`` training takes the first part too."""
     w = _order()
     none = F.lit("None")
     shaped = tokens.withColumn("shape", T.shape(F.col("text"))).withColumn("at", F.row_number().over(w))
     prev_word = F.coalesce(F.lower(F.lag("text").over(w)), none)
-    prev_tag = F.coalesce(T.simple_tag(F.lag("label").over(w)), none)
+    before = F.lag("label").over(w)
+    prev_tag = F.coalesce(T.simple_tag(before) if consistent_history else before, none)
     prev_pos = F.coalesce(F.lag("tag").over(w), none)
     prev_shape = F.when(F.col("at") > 2, F.lag("shape").over(w)).otherwise(none)
     next_pos = F.coalesce(F.lower(F.lead("tag").over(w)), none)
@@ -59,7 +62,7 @@ def entity_context(tokens: DataFrame, base_words: Iterable[str] = ()) -> DataFra
         F.lit("True").alias("bias"), basic.alias("en-wordlist"), next_pos.alias("nextpos"), next_word.alias("nextword"), F.col("tag").alias("pos_"),
         join(F.col("tag"), prev_tag).alias("pos+prevtag"), T.prefix(F.col("text")).alias("prefix3"), prev_pos.alias("prevpos"), prev_tag.alias("prevtag"),
         prev_word.alias("prevword"), F.col("shape"), join(prev_shape, prev_tag).alias("shape+prevtag"), T.suffix(F.col("text")).alias("suffix3"),
-        F.col("text").alias("word"), join(F.col("text"), next_pos).alias("word+nextpos"), F.lower("text").alias("word.lower"), F.octet_length("text").cast("string").alias("wordlen"),
+        F.col("text").alias("word"), join(F.lower("text"), next_pos).alias("word+nextpos"), F.lower("text").alias("word.lower"), F.octet_length("text").cast("string").alias("wordlen"),
     )
 
 

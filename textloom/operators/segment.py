@@ -35,7 +35,6 @@ _NUMBER = re.compile(r"^-?[.,]?\d[\d,.-]*\.?$")
 _ABBREVIATION, _ELLIPSIS = re.compile(C.ABBREVIATION), re.compile(C.ELLIPSIS)
 _INTERNAL = re.compile(r"[)’”\"']$")
 _INITIAL = re.compile(r"^[^\W\d_]\.$")
-_STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 @dataclass
@@ -62,8 +61,7 @@ def bare(token: str) -> str:
 class _Token:
     def __init__(self, text: str):
         self.text, self.ends, self.abbreviated, self.ellipsis = text, False, False, False
-        letter = _STRIP.sub("", text)[:1] or text[:1]
-        self.upper, self.lower = letter.isupper(), letter.islower()
+        self.upper, self.lower = text[:1].isupper(), text[:1].islower()
 
 
 def _first_pass(t: _Token, p: Parameters) -> None:

@@ -1,7 +1,9 @@
 """The tokenizer: white-space spans, each cut by affixes, split cases and contractions.
 
 ``tokens`` runs on distinct spans: spans repeat as words do, so the fold that cuts
-them works on the vocabulary and is joined back by span. ``tokenize`` does the same
+them works on the vocabulary and is joined back by span. Tokens are exploded by the outer
+form, for which the optimizer makes no filter on the array: such a filter would move
+below the distinct and run the fold on every occurrence. ``tokenize`` does the same
 for one text in an array column and suits streams.
 """
 
@@ -31,9 +33,13 @@ class TokenizerConfig:
     #: True: a split case at a remainder's start drops the remainder.
     lossy_contractions: bool = False
     cases: tuple[str, ...] = field(init=False)
+    #: Whether every affix and case holds an ASCII mark, so that letters and digits alone
+    #: are never cut and a span has at most two cuts a mark.
+    marked: bool = field(init=False)
 
     def __post_init__(self):
         object.__setattr__(self, "cases", (*self.split_cases, *self.contractions))
+        object.__setattr__(self, "marked", all(any(c.isascii() and not c.isalnum() for c in x) for x in (*self.prefixes, *self.suffixes, *self.cases)))
 
 
 def _any(word: Column, affixes: tuple[str, ...], has: Callable) -> Column:
@@ -70,8 +76,12 @@ def split_span(span: Column, config: TokenizerConfig = TokenizerConfig()) -> Col
         result = F.when(head.isNotNull(), keep(F.substring(rest, F.char_length(head) + 1, size), F.concat(out, F.array(head)), back, False)).otherwise(result)
         return F.when(s["done"] | (rest == ""), s).when(special, whole).otherwise(result)
 
-    turns = F.sequence(F.lit(1), F.char_length(span) + 1)
-    return F.filter(F.aggregate(turns, state, step, lambda s: F.concat(s["out"], s["back"])), lambda t: t.rlike(r"(?U)\S"))
+    most = F.char_length(span) + 1
+    if config.marked:
+        marks = F.char_length(F.regexp_replace(span, r"[\p{L}\p{N}]+", ""))
+        most = F.least(most, 2 * marks + 2)
+    cut = F.filter(F.aggregate(F.sequence(F.lit(1), most), state, step, lambda s: F.concat(s["out"], s["back"])), lambda t: t.rlike(r"(?U)\S"))
+    return F.when(span.rlike(r"^[\p{L}\p{N}]+\z"), F.array(span)).otherwise(cut) if config.marked else cut
 
 
 def tokenize(text: Column, config: TokenizerConfig = TokenizerConfig()) -> Column:
@@ -95,7 +105,30 @@ def tokens(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col:
     """(doc_id, span_pos, sub_pos, text) in order of (span_pos, sub_pos)."""
     found = spans(docs, config, id_col, text_col)
     cut = split_spans(found, config)
-    return found.join(cut, "span", "left").select("doc_id", "span_pos", F.posexplode("tokens").alias("sub_pos", "text"))
+    made = found.join(cut, "span", "left").select("doc_id", "span_pos", F.posexplode_outer("tokens").alias("sub_pos", "text"))
+    return made.filter("sub_pos is not null")
+
+
+def tokens_per_text(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens) of texts with a token: spans are counted by document before they
+    meet their number of tokens, so a frequent span is one row a document."""
+    found = spans(docs, config, id_col, text_col).groupBy("doc_id", "span").agg(F.count("*").alias("n"))
+    sizes = split_spans(found, config).select("span", F.size("tokens").alias("size"))
+    return found.join(sizes, "span", "left").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens")).filter("n_tokens > 0")
+
+
+def alias_repeats(tagged: DataFrame, columns: tuple[str, ...] = ("tag", "label")) -> DataFrame:
+    """Tokens (doc_id, span_pos, sub_pos, text, ..) with ``columns`` of the last occurrence
+    of the same span in the document, as if equal spans shared their tokens. The last
+    span of a document keeps its own and lends nothing."""
+    from pyspark.sql import Window
+
+    whole = F.array_join(F.collect_list("text").over(Window.partitionBy("doc_id", "span_pos").orderBy("sub_pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "")
+    own = tagged.withColumn("__span", whole).withColumn("__last", F.max("span_pos").over(Window.partitionBy("doc_id")) == F.col("span_pos"))
+    same = Window.partitionBy("doc_id", "__span", "sub_pos", "__last")
+    for c in columns:
+        own = own.withColumn(c, F.when(F.col("__last"), F.col(c)).otherwise(F.max_by(c, "span_pos").over(same)))
+    return own.drop("__span", "__last")
 
 
 def with_positions(found: DataFrame) -> DataFrame:
@@ -111,4 +144,5 @@ def token_counts(docs: DataFrame, by: list[str], config: TokenizerConfig = Token
     clean = config.sanitizer(F.col(text_col)) if config.sanitizer else F.col(text_col)
     counted = docs.select(*by, F.explode(T.space_split(clean)).alias("span")).groupBy(*by, "span").agg(F.count("*").alias("n"))
     cut = split_spans(counted, config)
-    return counted.join(cut, "span").select(*by, F.explode("tokens").alias("text"), "n").groupBy(*by, "text").agg(F.sum("n").alias("n"))
+    made = counted.join(cut, "span", "left").select(*by, F.explode_outer("tokens").alias("text"), "n").filter("text is not null")
+    return made.groupBy(*by, "text").agg(F.sum("n").alias("n"))

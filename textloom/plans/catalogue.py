@@ -130,7 +130,7 @@ def tokenize_docs(spark, sf_dir):
 
 @query(f"with {_tokens_sql(_docs_sql())} select doc_id, count(*) n_tokens from tok group by 1")
 def tokens_per_doc(spark, sf_dir):
-    return tok.tokens(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    return tok.tokens_per_text(_docs(spark, sf_dir))
 
 
 @query(f"with {_tokens_sql('documents', 'lang')} select lang, text, n, rnk from (select lang, text, count(*) n, row_number() over (partition by lang order by count(*) desc, text) rnk from tok group by 1, 2) where rnk <= 20")
@@ -147,20 +147,26 @@ def tokenize_conversations(spark, sf_dir):
     return tok.tokens(docs, id_col="id").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("text").alias("n_types")).select("doc_id.conv_id", "doc_id.turn", "n_tokens", "n_types")
 
 
+def _conversations(spark, sf_dir) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+    return own.unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
+
+
+_CONVERSATIONS = f"(select conv_id * 100000 + turn doc_id, text from conversations union all select * from {_values(SAMPLES, 'doc_id, text')})"
 _CASES = tok.TokenizerConfig(split_cases=("(", "th", "/"))
 
 
-@query(f"with {_tokens_sql(_docs_sql('benchmark', 'item_id'), config=_CASES)} select doc_id, span_pos, sub_pos, text from tok")
+@query(f"with {_tokens_sql(_CONVERSATIONS, config=_CASES)} select doc_id, span_pos, sub_pos, text from tok")
 def tokenize_custom_splitcases(spark, sf_dir):
-    return tok.tokens(_docs(spark, sf_dir, "benchmark", "item_id"), _CASES).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
+    return tok.tokens(_conversations(spark, sf_dir), _CASES).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
 
 
 _CONTRACTIONS = tok.TokenizerConfig(contractions=("'ve", "er", "'t"))
 
 
-@query(f"with {_tokens_sql(_docs_sql('benchmark', 'item_id'), config=_CONTRACTIONS)} select doc_id, span_pos, sub_pos, text from tok")
+@query(f"with {_tokens_sql(_CONVERSATIONS, config=_CONTRACTIONS)} select doc_id, span_pos, sub_pos, text from tok")
 def tokenize_custom_contractions(spark, sf_dir):
-    return tok.tokens(_docs(spark, sf_dir, "benchmark", "item_id"), _CONTRACTIONS).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
+    return tok.tokens(_conversations(spark, sf_dir), _CONTRACTIONS).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
 
 
 _NUMERIC_SQL = "((regexp_matches(w, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') and coalesce(abs(try_cast(w as double)) < 'inf'::double, false)) or regexp_matches(w, '^([+-]?(?i:inf|infinity)|(?i:nan))$') or regexp_matches(w, '^[+-]?0[xX]([0-9a-fA-F]+\\.?[0-9a-fA-F]*|\\.[0-9a-fA-F]+)[pP][+-]?[0-9]+$'))"
@@ -198,9 +204,9 @@ def affix_features(spark, sf_dir):
 _IN_WORDS = f"in ({', '.join(map(_q, WORDS))})"
 
 
-@query(f"select distinct span word, span {_IN_WORDS} basic from {_spans_sql(_docs_sql('benchmark', 'item_id'))}")
+@query(f"select distinct span word, span {_IN_WORDS} basic from {_spans_sql(_docs_sql())}")
 def basic_word_flag(spark, sf_dir):
-    return tok.spans(_docs(spark, sf_dir, "benchmark", "item_id")).select(F.col("span").alias("word"), F.col("span").isin(list(WORDS)).alias("basic")).distinct()
+    return tok.spans(_docs(spark, sf_dir)).select(F.col("span").alias("word"), F.col("span").isin(list(WORDS)).alias("basic")).distinct()
 
 
 @query(f"select lang, round(avg(case when span {_IN_WORDS} then 1.0 else 0.0 end), 6) ratio, count(*) n from {_spans_sql('documents', 'lang')} group by 1")
@@ -244,11 +250,11 @@ lb as (select doc_id, pos, text, tag, case when not up then 'O' when coalesce(la
 _SIMPLE_SQL = "case when starts_with(x, 'V') then 'v' else split_part(x, '-', 1) end"
 _ENTITY = f"""{_LABELLED}, sh as (select *, {_SHAPE_SQL.replace('(w', '(text').replace(' w ', ' text ').replace('= w', '= text')} shape, row_number() over w n, lag(label) over w x from lb window w as (partition by doc_id order by pos)),
 ec as (select doc_id, pos, text, tag, label, 'True' bias, case when text {_IN_WORDS} then 'True' else 'False' end wordlist, coalesce(lower(lead(tag) over w), 'None') nextpos,
-  coalesce(lower(lead(text) over w), 'None') nextword, coalesce({_SIMPLE_SQL}, 'None') prevtag, lower(left(text, 3)) prefix3, coalesce(lag(tag) over w, 'None') prevpos,
+  coalesce(lower(lead(text) over w), 'None') nextword, coalesce(x, 'None') prevtag, lower(left(text, 3)) prefix3, coalesce(lag(tag) over w, 'None') prevpos,
   coalesce(lower(lag(text) over w), 'None') prevword, shape, case when n > 2 then lag(shape) over w else 'None' end pshape, lower(right(text, 3)) suffix3, strlen(text)::varchar wordlen
   from sh window w as (partition by doc_id order by pos)),
 lf as (select doc_id, pos, label, unnest(['bias', 'en-wordlist', 'nextpos', 'nextword', 'pos', 'pos+prevtag', 'prefix3', 'prevpos', 'prevtag', 'prevword', 'shape', 'shape+prevtag', 'suffix3', 'word', 'word+nextpos', 'word.lower', 'wordlen']) fname,
-  unnest([bias, wordlist, nextpos, nextword, tag, tag || '+' || prevtag, prefix3, prevpos, prevtag, prevword, shape, pshape || '+' || prevtag, suffix3, text, text || '+' || nextpos, lower(text), wordlen]) fval from ec)"""
+  unnest([bias, wordlist, nextpos, nextword, tag, tag || '+' || prevtag, prefix3, prevpos, prevtag, prevword, shape, pshape || '+' || prevtag, suffix3, text, lower(text) || '+' || nextpos, lower(text), wordlen]) fval from ec)"""
 
 
 def _entity_features(spark, sf_dir) -> DataFrame:
