@@ -1,5 +1,5 @@
-"""SQL names of the operators: nlp_tokenize, nlp_sentences, nlp_tag, nlp_entities and the
-table function nlp_tokens."""
+"""SQL names of the operators: nlp_tokenize, nlp_sentences, nlp_tag, nlp_labels (of tokens
+and tags), nlp_entities (of a text) and the table function nlp_tokens."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..operators import ner, pos, segment
+from ..operators.chunk import chunk_words
 from ..sources.models import Model
 from . import constants as C
 
@@ -19,7 +20,9 @@ def register(spark: SparkSession, model: Model | None = None, parameters: segmen
     if model and model.tagger:
         spark.udf.register("nlp_tag", pos.tag_udf(model.tagger))
     if model and model.recognizer:
-        spark.udf.register("nlp_entities", ner.label_udf(model.recognizer))
+        spark.udf.register("nlp_labels", ner.label_udf(model.recognizer))
+        if model.tagger:
+            spark.udf.register("nlp_entities", _entities_udf(model))
 
     @udtf(returnType="pos int, text string")
     class Tokens:
@@ -30,6 +33,24 @@ def register(spark: SparkSession, model: Model | None = None, parameters: segmen
     spark.udtf.register("nlp_tokens", Tokens)
 
 
+def _entities_udf(model: Model):
+    """The entities of a text: array of (text, label)."""
+    tagger, recognizer = model.tagger, model.recognizer
+
+    @F.pandas_udf("array<struct<text:string,label:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def of(text):
+            words = tokenize_text(text)
+            if words is None:
+                return None
+            tags = pos.tag_words(words, tagger)
+            return [{"text": t, "label": x} for t, x in chunk_words(words, tags, ner.label_words(words, tags, recognizer))]
+
+        return texts.map(of)
+
+    return run
+
+
 def _tokenize_udf():
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

@@ -43,3 +43,28 @@ def chunk(tokens: DataFrame, flush_tail: bool = False) -> DataFrame:
         F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"), label.alias("label"),
         F.col("p")[0]["pos"].alias("start_pos"), F.element_at("p", -1)["pos"].alias("end_pos"),
     )
+
+
+def chunk_words(words: list[str], tags: list[str], labels: list[str], flush_tail: bool = False) -> list[tuple[str, str]]:
+    """(text, label) of the entities of one text, by the same rule, for SQL functions."""
+    out: list[tuple[str, str]] = []
+    part: list[tuple[str, str, str]] = []
+
+    def close():
+        named = [p[2] for p in part]
+        label = "PERSON" if len(part) == 2 and "B-PERSON" in named else (named[0].split("-") + [""])[1]
+        out.append((" ".join(p[0] for p in part), label))
+        part.clear()
+
+    for item in zip(words, tags, labels, strict=True):
+        _, tag, label = item
+        ended = part[-1][2].replace("B", "I", 1) if part else ""
+        if (label != "O" and label != ended) or part and (tag == part[-1][1] or tag == "CD" and part[-1][2] != "O"):
+            part.append(item)
+        elif part:
+            if label != "O":
+                part.append(item)
+            close()
+    if part and flush_tail:
+        close()
+    return out

@@ -15,7 +15,9 @@ from ..operators import chunk as chunking
 from ..operators import features as feat
 from ..operators import ner, pos, segment
 from ..operators import tokenize as tok
-from ..sources.tagged import parse_tagged
+from ..sources.models import Model
+from ..sources.tagged import parse_tagged, train_test
+from . import pipeline
 
 SAMPLES = [
     (-1, "“He’s here,” said Mr. James; it&rsquo;s the N.B.A., don't you know?"),
@@ -54,25 +56,24 @@ _SPACE = r"[\s\x{0B}\x{85}\pZ]+"
 _LIST = rf"list_filter(string_split_regex({_CLEAN}, '{_SPACE}'), lambda x: x <> '')"
 
 
-def _spans_sql(source: str, keys: str = "doc_id") -> str:
-    return f"(select {keys}, unnest(l) span, generate_subscripts(l, 1) - 1 span_pos from (select {keys}, {_LIST} l from {source}))"
+def _spans_sql(source: str, keys: str = "doc_id", spans: str = _LIST) -> str:
+    return f"(select {keys}, unnest(l) span, generate_subscripts(l, 1) - 1 span_pos from (select {keys}, {spans} l from {source}))"
 
 
-_SPECIAL = C.SPECIAL.replace(r"\z", "$")
-
-
-def _special_sql(x: str) -> str:
-    return f"({x} in ({', '.join(map(_q, C.EMOTICONS))}) or regexp_matches({x}, {_q(_SPECIAL)}))"
+def _special_sql(x: str, config: tok.TokenizerConfig = tok.TokenizerConfig()) -> str:
+    return f"({x} in ({', '.join(map(_q, config.emoticons))}) or regexp_matches({x}, {_q(config.special.replace(chr(92) + 'z', '$'))}))"
 
 
 def _fold_sql(x: str, config: tok.TokenizerConfig = tok.TokenizerConfig()) -> str:
     """The tokenizer's fold over one span as a list."""
     r = "a.rest"
     make = lambda rest, out, back, done: f"{{'rest': {rest}, 'out': {out}, 'back': {back}, 'done': {done}}}"
-    parts = [f"when a.done or {r} = '' then a", f"when {_special_sql(r)} then {make(_q(''), f'list_append(a.out, {r})', 'a.back', 'true')}"]
+    parts = [f"when a.done or {r} = '' then a", f"when {_special_sql(r, config)} then {make(_q(''), f'list_append(a.out, {r})', 'a.back', 'true')}"]
     parts += [f"when starts_with({r}, {_q(p)}) and length({r}) > {len(p)} then {make(f'{r}[{len(p) + 1}:]', f'list_append(a.out, {_q(p)})', 'a.back', 'false')}" for p in config.prefixes]
     at = "case " + " ".join(f"when strpos(lower({r}), {_q(c)}) > 0 and length({r}) > {len(c)} then strpos(lower({r}), {_q(c)})" for c in config.cases) + " else 0 end"
     parts.append(f"when {at} > 1 then {make(f'{r}[({at}):]', f'list_append(a.out, {r}[:({at}) - 1])', 'a.back', 'false')}")
+    if config.lossy_contractions:
+        parts.append(f"when {at} = 1 then {make(_q(''), 'a.out', 'a.back', 'true')}")
     parts += [f"when ends_with({r}, {_q(s)}) and length({r}) > {len(s)} then {make(f'{r}[:length({r}) - {len(s)}]', 'a.out', f'list_prepend({_q(s)}, a.back)', 'false')}" for s in config.suffixes]
     whole = make(_q(""), f"list_append(a.out, {r})", "a.back", "true")
     start = make(x, "[]::varchar[]", "[]::varchar[]", "false")
@@ -82,7 +83,8 @@ def _fold_sql(x: str, config: tok.TokenizerConfig = tok.TokenizerConfig()) -> st
 
 def _tokens_sql(source: str, keys: str = "doc_id", config: tok.TokenizerConfig = tok.TokenizerConfig()) -> str:
     """CTEs sp, cut and tok (keys, span_pos, sub_pos, text)."""
-    return f"""sp as {_spans_sql(source, keys)}, cut as (select span, {_fold_sql('span', config)} toks from (select distinct span from sp)),
+    spans = _LIST if config.sanitizer else _LIST.replace(_CLEAN, "text")
+    return f"""sp as {_spans_sql(source, keys, spans)}, cut as (select span, {_fold_sql('span', config)} toks from (select distinct span from sp)),
 tok as (select {keys}, span_pos, unnest(toks) as text, generate_subscripts(toks, 1) - 1 sub_pos from sp join cut using (span))"""
 
 
@@ -169,6 +171,29 @@ def tokenize_custom_contractions(spark, sf_dir):
     return tok.tokens(_conversations(spark, sf_dir), _CONTRACTIONS).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
 
 
+#: One option of the tokenizer each, over the conversations and the samples.
+OPTIONS = {
+    "tokenize_custom_prefixes": tok.TokenizerConfig(prefixes=("“", "th", "$", "[")),
+    "tokenize_custom_suffixes": tok.TokenizerConfig(suffixes=("ing", ".", "”", "e")),
+    "tokenize_custom_emoticons": tok.TokenizerConfig(emoticons=("(Really!)", "100.00.", ":-)")),
+    "tokenize_custom_special": tok.TokenizerConfig(special=r"^[A-Z][a-z]+[.,]\z"),
+    "tokenize_no_sanitizer": tok.TokenizerConfig(sanitizer=None),
+    "tokenize_lossy_contractions": tok.TokenizerConfig(lossy_contractions=True),
+}
+
+
+def _option_query(config: tok.TokenizerConfig):
+    def run(spark, sf_dir):
+        return tok.tokens(_conversations(spark, sf_dir), config).select("doc_id", F.col("span_pos").cast("long").alias("span_pos"), F.col("sub_pos").cast("long").alias("sub_pos"), "text")
+
+    return run
+
+
+for _name, _config in OPTIONS.items():
+    QUERIES[_name] = _option_query(_config)
+    ORACLES[_name] = f"with {_tokens_sql(_CONVERSATIONS, config=_config)} select doc_id, span_pos, sub_pos, text from tok"
+
+
 _NUMERIC_SQL = "((regexp_matches(w, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') and coalesce(abs(try_cast(w as double)) < 'inf'::double, false)) or regexp_matches(w, '^([+-]?(?i:inf|infinity)|(?i:nan))$') or regexp_matches(w, '^[+-]?0[xX]([0-9a-fA-F]+\\.?[0-9a-fA-F]*|\\.[0-9a-fA-F]+)[pP][+-]?[0-9]+$'))"
 _SHAPE_SQL = f"case when {_NUMERIC_SQL} then 'number' when regexp_matches(w, '[^A-Za-z0-9_]$') then 'punct' when lower(w) = w then 'downcase' when not regexp_matches(w, '(^|[\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{40}}\\x{{5B}}-\\x{{5E}}\\x{{60}}\\x{{7B}}-\\x{{7F}}]|{_SPACE})\\p{{Ll}}') then 'upcase' when w <> '' then 'mixedcase' else 'other' end"
 _NORM_SQL = "case when contains(w, '-') and not starts_with(w, '-') then '!HYPHEN' when regexp_matches(w, '^[+-]?[0-9]+$') and strlen(w) = 4 then '!YEAR' when regexp_matches(w, '^[0-9]') then '!DIGITS' else lower(w) end"
@@ -441,6 +466,72 @@ def punkt_ortho_context(spark, sf_dir):
     return segment.ortho_contexts(_docs(spark, sf_dir))
 
 
+@query(f"with {_tokens_sql(_CONVERSATIONS)}, {_POS_SQL} select doc_id, pos, text, null::varchar tag, null::varchar as label from tp")
+def pipeline_tokens_only(spark, sf_dir):
+    """The document pipeline with segmentation, tagging and extraction off."""
+    made = pipeline.annotate(_conversations(spark, sf_dir), Model("none"), pipeline.Options(segment=False, tag=False, extract=False))
+    return pipeline.token_rows(made).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"select doc_id, unnest(l) as text, generate_subscripts(l, 1) - 1 pos from (select doc_id, list_filter(string_split_regex(text, '{_SPACE}'), lambda x: x <> '') l from {_CONVERSATIONS})")
+def pipeline_own_tokenizer(spark, sf_dir):
+    """The document pipeline with a tokenizer of the caller's."""
+    made = pipeline.annotate(_conversations(spark, sf_dir), Model("none"), pipeline.Options(segment=False, tokenizer=T.space_split))
+    return pipeline.token_rows(made).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query(f"select doc_id, text from {_CONVERSATIONS}")
+def pipeline_all_off(spark, sf_dir):
+    """The document pipeline with no stage asked for: the documents as they are."""
+    return pipeline.annotate(_conversations(spark, sf_dir), Model("none"), pipeline.Options(segment=False, tokenizer=None))
+
+
+@query(f"""{_BENCH}, ofs as (select *, coalesce(sum(length(text)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) off from tp),
+hit as (select doc_id, pos, text, coalesce(k, -1) k, case when k is null then 'O' when off = s then 'B-' || name else 'I-' || name end label from ofs left join {_values(_SPAN_ROWS, 'k, s, e, name')} v on off >= s and off < e and k <> 1)
+select doc_id, pos, text, label from hit qualify row_number() over (partition by doc_id, pos order by k desc) = 1""")
+def iob_assign_rejected(spark, sf_dir):
+    """Labels by spans of which one was not accepted."""
+    tokens = _bench_tokens(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+    spans = spark.createDataFrame([(*r, r[0] != 1) for r in _SPAN_ROWS], "span_no int, start int, end int, label string, accept boolean").crossJoin(tokens.select("doc_id").distinct())
+    return ner.assign_labels(tokens, spans)
+
+
+@query(f"{_ENTITY.replace(chr(99) + 'oalesce(x, ' + chr(39) + 'None' + chr(39) + ') prevtag', 'coalesce(' + _SIMPLE_SQL + ', ' + chr(39) + 'None' + chr(39) + ') prevtag')} select * from lf where fname in ('prevtag', 'pos+prevtag', 'shape+prevtag')")
+def context_features_consistent(spark, sf_dir):
+    """The features of the history, with the first part of labels, as in decoding."""
+    found = feat.long_features(feat.entity_context(_labelled(spark, sf_dir), WORDS, consistent_history=True))
+    return found.filter(F.col("fname").isin("prevtag", "pos+prevtag", "shape+prevtag")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""{_MAPPING}, ca as (select doc_id, pos, mp.label cand, fid from lf join mp using (fname, fval)),
+gr as (select doc_id, pos, cand from (select distinct doc_id, pos from ca), (select unnest([{', '.join(map(_q, _LABEL_NAMES))}]) cand)),
+kn as (select doc_id, pos, cand, sum(1.0 / (1 + fid % 7)) s, count(*) n from ca group by 1, 2, 3),
+fu as (select gr.*, coalesce(s, 0.0) + 0.25 * (18 - coalesce(n, 0)) v from gr left join kn using (doc_id, pos, cand)),
+pr as (select *, pow(2.0, v - max(v) over w) e from fu window w as (partition by doc_id, pos))
+select doc_id, pos, cand as label, round(e / sum(e) over (partition by doc_id, pos), 6) + 0.0 p from pr""")
+def prob_classify(spark, sf_dir):
+    """The distribution over labels of every token."""
+    f = _entity_features(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+    mapping = ner.encode(f)
+    weights = mapping.select("fid", (1.0 / (1 + F.col("fid") % 7)).alias("w")).unionByName(spark.createDataFrame([(-1, 0.25)], "fid int, w double"))
+    return ner.prob_classify(f, mapping, weights, _LABEL_NAMES, 18).withColumn("p", F.round("p", 6) + F.lit(0.0))
+
+
+@query("select doc_id, rn <= floor(0.8 * n) in_train from (select doc_id, row_number() over (order by doc_id) rn, count(*) over () n from documents)")
+def train_test_split(spark, sf_dir):
+    first, rest = train_test(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
+    return first.withColumn("in_train", F.lit(True)).unionByName(rest.withColumn("in_train", F.lit(False)))
+
+
+@query(rf"""{_LABELLED}, sq as (select lb.doc_id, pos, tp.span_pos, tp.sub_pos, lb.text, tag, label, string_agg(lb.text, '' order by tp.sub_pos) over (partition by lb.doc_id, tp.span_pos) sp, tp.span_pos = max(tp.span_pos) over (partition by lb.doc_id) last from lb join tp using (doc_id, pos)),
+wh as (select doc_id, span_pos, max(sp) sp from (select doc_id, span_pos, string_agg(text, '' order by sub_pos) sp from sq group by 1, 2) group by 1, 2),
+al as (select sq.doc_id, sq.pos, sq.text, sq.last, sq.tag, sq.label, sq.span_pos, sq.sub_pos, wh.sp w2 from sq join wh using (doc_id, span_pos))
+select doc_id, pos, text, case when last then tag else arg_max(tag, span_pos) over g end tag, case when last then label else arg_max(label, span_pos) over g end as label from al window g as (partition by doc_id, w2, sub_pos, last)""")
+def alias_repeats(spark, sf_dir):
+    """Labels as if equal spans of a document shared their tokens."""
+    return tok.alias_repeats(_labelled(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "tag", "label")
+
+
 _TAGGED = [(1, "Pierre|NNP Vinken|NNP ,|, 61|CD years|NNS old|JJ ,|, will|MD join|VB"), (2, "the|DT board|NN odd as|IN"), (3, "")]
 
 

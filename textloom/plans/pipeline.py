@@ -45,7 +45,7 @@ def annotate(docs: DataFrame, model: Model, options: Options = Options(), parame
 
 def token_rows(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, pos, text, tag, label) of annotated documents."""
-    null = F.lit(None).cast("array<string>")
+    null = F.array().cast("array<string>")
     tags = F.col("tags") if "tags" in annotated.columns else null
     labels = F.col("labels") if "labels" in annotated.columns else null
     zipped = annotated.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(F.col("tokens").alias("text"), tags.alias("tag"), labels.alias("label"))).alias("pos", "t"))

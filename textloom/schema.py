@@ -1,8 +1,3 @@
 """Schemas of the engine's tables."""
 
-TOKENS = "doc_id long, pos int, span_pos int, sub_pos int, text string"
-TAGGED = TOKENS + ", tag string"
-SENTENCES = "doc_id long, sent_pos int, text string"
-ENTITIES = "doc_id long, ent_pos int, text string, label string, start_pos int, end_pos int"
 LABELLED_TEXT = "text string, spans array<struct<start:int,end:int,label:string>>, answer string"
-EXAMPLES = "accept boolean, spans array<struct<start:int,end:int,label:string>>, text string"
