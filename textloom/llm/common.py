@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +70,9 @@ def drop_stored(*frames: DataFrame) -> None:
 
 
 def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries that nothing refers to."""
-    gc.collect()
+    """Lets Spark delete the shuffle files of finished queries that nothing refers to, and
+    the driver give their memory back."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -147,3 +149,47 @@ def most_frequent(df: DataFrame, count: str, most: int) -> Column:
             break
         held, least = held + n, found
     return step >= least
+
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x5851F42D4C957F2D
+
+
+def hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words in an array of code points: polynomials modulo 2^64, mixed."""
+    with np.errstate(over="ignore"):
+        up, down = _powers(len(code))
+        value = (code.astype(np.uint64) + np.uint64(1)) * _STEP
+        value = (value ^ (value >> np.uint64(29))) * _STEP
+        total = np.zeros(len(code) + 1, dtype=np.uint64)
+        np.cumsum(value * up, out=total[1:])
+        h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * _STEP
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _powers_kept
+    if len(_powers_kept[0]) < n or len(_powers_kept[0]) > max(n, _FIT):
+        size = max(n, _FIT)
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            x = np.full(size, base, dtype=np.uint64)
+            x[0] = 1
+            made.append(np.cumprod(x))
+        _powers_kept = tuple(made)
+    return _powers_kept[0][:n], _powers_kept[1][:n]
+
+
+#: Powers kept: those for slices of ordinary size.
+_FIT = 1 << 20
+_powers_kept: tuple[np.ndarray, np.ndarray] = (np.ones(0, dtype=np.uint64), np.ones(0, dtype=np.uint64))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, where each is first, the place of each key among them)."""
+    found = pa.array(keys).dictionary_encode()
+    which = found.indices.to_numpy()
+    first = np.empty(len(found.dictionary), dtype=np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
+    return found.dictionary.to_numpy(), first, which

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,3 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(_small_star(_large_star(now)), "edges")
         drop_stored(now)
         now = after
+        forget(edges.sparkSession)

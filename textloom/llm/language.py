@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, text_slices
+from .common import forget, released, stored, text_slices
 
 BUCKETS = 1 << 17
 UNKNOWN = "und"
@@ -274,10 +274,12 @@ def fit(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id
     made = own.filter(keep).select("lang", "text").mapInArrow(released(spans_of(settings)), "lang string, words array<string>")
     bound = 2 * len(sizes) * settings.docs_per_lang * settings.spans_per_doc
     # by a hash, so that the same rows are left out if the bound is met
-    return train([(r[0], r[1]) for r in made.orderBy(F.xxhash64("lang", "words"), "lang", "words").limit(bound).collect()], settings)
+    model = train([(r[0], r[1]) for r in made.orderBy(F.xxhash64("lang", "words"), "lang", "words").limit(bound).collect()], settings)
+    forget(docs.sparkSession)
+    return model
 
 
-_KNOWN = 80_000
+_KNOWN = 60_000
 
 
 class _Chunks(dict):
@@ -449,4 +451,5 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
             columns = [pa.array(langs, pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
-    return docs.mapInArrow(released(run, forget_scorers), docs.schema)
+    # stored, so that a lost executor or a second reader does not judge all texts again
+    return stored(docs.mapInArrow(released(run, forget_scorers), docs.schema), "known")

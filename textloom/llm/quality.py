@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, in_bitmap, most_frequent, released, stored
+from .common import drop_stored, forget, in_bitmap, most_frequent, released, stored
 
 ORDER = 4
 #: Code points; an n-gram is two longs, ``hi`` and ``lo``, of two symbols each.
@@ -371,6 +371,7 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], head: int =
     asked = stored(_ngrams(own), "asked")
     known = stored(probabilities(asked, model), "probabilities")
     drop_stored(asked)
+    forget(docs.sparkSession)
     top = known.filter(most_frequent(known, "c", head)).select(*_KEY, "p").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(Head(top))
     held = own.mapInArrow(released(_lists(shared)), _HELD).join(known.select(*_KEY, "p").hint("merge"), _KEY, "left")
@@ -398,6 +399,7 @@ def _steady(perplexity, n, middle):
 
 def _judged(docs: DataFrame, labels: DataFrame, high: float, margin: float) -> DataFrame:
     scored = stored(score(docs, fit(docs, labels)), "perplexity")
+    forget(docs.sparkSession)
     out = scored.join(stored(thresholds(scored, labels, high, margin), "thresholds"), "lang", "left").withColumn("steady", _steady(F.col("perplexity"), F.col("n_chars"), F.col("middle")))
     keep = (F.col("n_chars") > 0) & (F.col("steady").isNull() | (F.col("steady") <= F.col("most")))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "steady", "most", keep.alias("keep"), "content")
