@@ -345,7 +345,7 @@ def test_neighbours(spark):
     x = np.concatenate([base, base[:60] + 0.18 * rng.normal(size=(60, 16)), base[:1].repeat(30, axis=0), base[5:6] + 0.01 * rng.normal(size=(25, 16))])
     rows = [(int(k), [float(v) for v in row], 1) for k, row in enumerate(x)]
     odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0], 1), (None, [1.0] * 16, 1)]
-    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int").withColumn("list", F.lit(0))
+    df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(0) for c in ("list", "rep", "code", "v", "k1")})
     got = {r.vec_id: r for r in neighbours.near_duplicates(df, probes=6, lists=12).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
@@ -360,6 +360,25 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_at_table_scale(spark):
+    """Default settings, as many vectors and components as the tables have."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=(4000, 64)) * (rng.uniform(0.33, 0.5, size=(4000, 1)) / 8)
+    x = np.concatenate([base, base + noise, rng.normal(size=(1000, 8)) @ np.eye(8, 64)]).astype(np.float32)
+    rows = [(int(k), v.tolist()) for k, v in enumerate(x)] + [(20_000 + k, [1.0, 0.01 * k]) for k in range(3)]
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = sum(got[k].n_links for k in range(len(x)))
+    assert near.sum() > 4000 and 0.97 * near.sum() <= found <= near.sum()
+    # vectors of another length link with each other
+    assert [(got[20_000 + k].n_links, got[20_000 + k].component_id) for k in range(3)] == [(2, 20_000)] * 3
+
+
 # tokens
 
 
@@ -517,6 +536,17 @@ def test_licences(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+def test_headings_notices_and_tags(spark):
+    rows = [
+        (1, "a/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"),
+        (2, "b/x.py", "# Licensed under the Apache License, Version 2.0 (the \"License\");\ncode", "Apache-2.0"), (3, "c/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0"),
+        (4, "d/y.js", "/* SPDX-License-Identifier: MIT */", "MIT"), (5, "e/z.rs", "  SPDX-License-Identifier:   BSD-3-Clause", "BSD-3-Clause"), (6, "f/LICENSE", "The MIT License (MIT)", "MIT"),
+        (7, "g/l.txt", "Apache License Version 2.0, January 2004", "Apache-2.0"), (8, "h/long.txt", "word " * 60_000 + "\n# SPDX-License-Identifier: ISC", "ISC"),
+    ]
+    files = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string").withColumns({c: F.lit("x") for c in ("licence", "w", "score", "dir")})
+    assert {r.doc_id: r.own_licence for r in licences.scan(files).collect()} == {r[0]: r[3] for r in rows}
+
+
 def test_licence_files_are_scored_whole_and_the_root_is_an_ancestor(spark):
     mit = "Copyright 2020 A. Person\n\n" + licences.BODIES["MIT"].replace(" of ", " of\n")
     rows = [(1, "LICENSE", mit), (2, "a/b/x.txt", "nothing"), (3, "c/COPYING", licences.BODIES["BSD-3-Clause"]), (4, "c/d/y.txt", None), (5, "e/LICENSE", licences.BODIES["ISC"]), (6, "/abs/z.txt", "x"), (7, "f/LICENSE", licences.BODIES["BSD-2-Clause"])]

@@ -5,7 +5,8 @@ or an SPDX tag is a header line; equal lines are scored once. Lines and template
 sparse vectors of word counts times inverse document frequency, counted over all
 header lines and the templates, joined by word; a line's licence is the template of
 the highest cosine, if that reaches ``least``. A file's own licence is that of its
-best line; a licence file is also scored whole, without regard to keywords, against
+best line, and a line with an SPDX tag has the licence it names, without "-only" or
+"-or-later"; a licence file is also scored whole, without regard to keywords, against
 the full texts of licences (BODIES), and takes the better score.
 
 A licence file (by its base name) licenses its directory; "." is the root of relative
@@ -16,7 +17,9 @@ holds a third of all files is one row there.
 
 Null text, or no such line: no licence of its own. Ties go to the first template by
 name; repeated rows are files of their own; of several licence files in a directory
-the best-scored counts. Empty tables give empty results.
+the best-scored counts. Texts and lines of any length work. Empty tables give empty
+results. Further columns, whatever their names, are not read. Texts are read once: lines
+that name a licence, and licence files, are stored and scored from there.
 """
 
 from __future__ import annotations
@@ -24,8 +27,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names and notices of common licences, as their projects ask to state them.
+from .common import stored
+
+#: Names, notices and headings of common licences, as their projects ask to state them.
+#: What follows "#" tells templates of one licence apart.
 TEMPLATES = {
+    "AGPL-3.0#heading": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0#heading": "Apache License Version 2.0, January 2004",
+    "Apache-2.0#notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "GPL-2.0#heading": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0#heading": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "GPL-3.0#notice": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0#heading": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MIT#heading": "The MIT License (MIT)",
+    "MPL-2.0#heading": "Mozilla Public License Version 2.0",
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
@@ -57,6 +72,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 }
 HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain"
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e|^copying|^notice"
+SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9][A-Za-z0-9.+-]*)"
 _WORD_GAP = "[^a-z0-9.]+"
 
 
@@ -90,13 +106,20 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     """doc_id, path, own_licence, score, licence, via ("header", "inherited" or null)."""
     templates = templates or TEMPLATES
     own = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    named = own.filter(F.col("text").rlike(HEADER)).select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line"))
-    named = named.select("doc_id", "path", F.trim("line").alias("line")).filter(F.col("line").rlike(HEADER))
-    scores = line_scores(named.groupBy("line").agg(F.count("*").alias("n")), templates, least)
     base = F.regexp_extract("path", r"([^/]*)\z", 1)
-    whole = own.filter(base.rlike(LICENCE_FILE) & F.col("text").isNotNull()).select("doc_id", "path", F.md5("text").alias("line"), "text")
-    whole_scores = line_scores(whole.groupBy("line").agg(F.count("*").alias("n"), F.min("text").alias("body")), BODIES, least, "body")
-    scored = named.join(scores, "line").unionByName(whole.drop("text").join(whole_scores, "line"))
+    is_file = F.coalesce(base.rlike(LICENCE_FILE), F.lit(False))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(HEADER))
+    hits = own.filter(F.col("text").rlike(HEADER) | (is_file & F.col("text").isNotNull()))
+    hits = stored(hits.select("doc_id", "path", lines.alias("lines"), F.when(is_file, F.md5("text")).alias("whole"), F.when(is_file, F.col("text")).alias("body")), "licence-lines")
+    named = hits.select("doc_id", "path", F.explode("lines").alias("line"))
+    tagged = F.col("line").rlike(SPDX)
+    plain = named.filter(~tagged)
+    scores = line_scores(plain.groupBy("line").agg(F.count("*").alias("n")), templates, least)
+    scores = scores.withColumn("licence", F.substring_index("licence", "#", 1))
+    tags = named.filter(tagged).select("doc_id", "path", "line", F.regexp_replace(F.regexp_extract("line", SPDX, 1), r"-(only|or-later)\z", "").alias("licence"), F.lit(1.0).alias("score"))
+    whole = hits.filter("whole is not null").select("doc_id", "path", F.col("whole").alias("line"), "body")
+    whole_scores = line_scores(whole.groupBy("line").agg(F.count("*").alias("n"), F.min("body").alias("body")), BODIES, least, "body")
+    scored = plain.join(scores, "line").unionByName(whole.drop("body").join(whole_scores, "line")).unionByName(tags)
     found = scored.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     found = found.select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("score"))
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*\z", 1)).when(F.col("path").isNotNull(), ".")

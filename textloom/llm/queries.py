@@ -37,10 +37,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed are the canonical URLs seen on any spam-farm host, by whatever URL a page
-    names them; the filter and the exact join then judge every page."""
+    """Listed are the URLs that some page names with a tracking parameter (utm_source), in
+    canonical form; the filter and the exact join then judge every page, whatever scheme,
+    parameters or fragment it names its URL by. Pages of one host differ."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(urls.host_of(F.col("url")).startswith("spam-farm."))
+    listed = pages.filter(F.col("url").contains("utm_source="))
     return urls.judge(pages, listed, URL_RULES)
 
 
@@ -51,7 +52,7 @@ with p as (
 q as (select page_id, translate(coalesce(h0, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, coalesce(path, '') path from p),
 r as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, pa)),
 m as (select q.page_id, max_by(h || pa, length(h || pa)) as rule, max_by(v, length(h || pa)) as v from (select distinct * from q) q join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, pa) group by 1),
-l as (select distinct host || regexp_replace(path, '/+$', '') k from q where starts_with(host, 'spam-farm.'))
+l as (select distinct host || regexp_replace(path, '/+$', '') k from q join pages using (page_id) where contains(url, 'utm_source=') and host || path <> '')
 select q.page_id, host, path, rule, coalesce(m.v, case when l.k is not null then 'block' else 'allow' end) verdict, l.k is not null is_listed
 from q left join m on q.page_id = m.page_id left join l on l.k = host || regexp_replace(path, '/+$', '')
 """
@@ -94,7 +95,9 @@ with f as (
   select doc_id, text, 'corpus/' || coalesce(source, 'none') || '/' || (doc_id // 2000) || '/' || case when (doc_id // 20) % 100 = 0 then 'LICENSE' else doc_id || '.txt' end path from documents),
 g as (select *, regexp_extract(path, '^(.*)/[^/]*$', 1) dir from f),
 l as (select doc_id, path, trim(unnest(string_split(text, chr(10))), ' ') line from g where regexp_matches(text, '{licences.HEADER}')),
-h as (select * from l where regexp_matches(line, '{licences.HEADER}')),
+h0 as (select * from l where regexp_matches(line, '{licences.HEADER}')),
+h as (select * from h0 where not regexp_matches(line, '{licences.SPDX}')),
+x as (select doc_id, path, line, regexp_replace(regexp_extract(line, '{licences.SPDX}', 1), '-(only|or-later)$', '') licence, 1.0 score from h0 where regexp_matches(line, '{licences.SPDX}')),
 d as (select line, count(*) n from h group by 1),
 t as (select * from (values {_TEMPLATE_ROWS}) v(licence, text)),
 lw0 as (select line, n, regexp_replace(unnest(string_split_regex(lower(line), '[^a-z0-9.]+')), '\.+$', '') w from d),
@@ -107,8 +110,8 @@ lv as (select line, w, tf * idf x from lw join idf using (w)),
 tv as (select licence, w, tf * idf y from tw join idf using (w)),
 c as (select line, licence, round(sum(x * y) / (any_value(lx) * any_value(ty)), 6) score from lv join tv using (w)
   join (select line, sqrt(sum(x * x)) lx from lv group by 1) using (line) join (select licence, sqrt(sum(y * y)) ty from tv group by 1) using (licence) group by 1, 2),
-b as (select line, licence, score from c qualify row_number() over (partition by line order by score desc, licence) = 1),
-o as (select doc_id, path, licence own_licence, score from h join b using (line) where score >= 0.6 qualify row_number() over (partition by doc_id, path order by score desc, licence) = 1),
+b as (select line, split_part(licence, '#', 1) licence, score from c qualify row_number() over (partition by line order by score desc, licence) = 1),
+o as (select doc_id, path, licence own_licence, score from (select doc_id, path, licence, score from h join b using (line) where score >= 0.6 union all select doc_id, path, licence, score from x) qualify row_number() over (partition by doc_id, path order by score desc, licence) = 1),
 s as (select regexp_extract(path, '^(.*)/[^/]*$', 1) anc, own_licence licence from o where regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{licences.LICENCE_FILE}')
   qualify row_number() over (partition by anc order by score desc, licence) = 1),
 i as (select dir, licence inherited from (select distinct dir from g) join s on dir = anc or starts_with(dir, anc || '/') qualify row_number() over (partition by dir order by length(anc) desc) = 1)

@@ -4,14 +4,16 @@ Only DataFrame functions. A canonical URL is lower-cased host plus path, without
 scheme, query, fragment and final slash. The listed URLs fill a Bloom filter of
 ``blocks`` blocks of 256 bits: a URL's hash chooses one block and eight bits in it,
 so a probe touches one block. The filter has at most ``MAX_BLOCKS`` blocks (a bound
-of 4 MB, which is what is broadcast); beyond about twelve listed URLs a block more
-false hits pass, never fewer true ones. What passes is joined exactly with the
+of 32 MB, which is what is broadcast), enough for 12 million listed URLs at about one
+false hit in a thousand; a longer list makes more false hits pass to the exact join,
+never fewer true ones, and changes no result. What passes is joined exactly with the
 listed URLs by hash and text, which removes all false hits.
 
 Null URL, or one without "://": host and path are empty; it fits no rule and is not
 listed. Rules are few (a parameter, not data) and become one expression. A repeated
 page gives a repeated row. Empty tables give empty results; an empty list of URLs
-lets every page pass.
+lets every page pass. Of two rules that fit, the longer wins; URLs of any length work.
+Further columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 WORDS = 4
 BITS = 8
-MAX_BLOCKS = 1 << 17
+#: Of 32 bytes each, so that at most 32 MB are broadcast.
+MAX_BLOCKS = 1 << 20
 PER_BLOCK = 12
 
 
