@@ -8,7 +8,7 @@ longest chain; each round's edges are written, which cuts the lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_stored, forget, stored
@@ -27,17 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, stored, with their number and a sum of their hashes, taken as they are
+    written (counted twice by a task that ran twice, which costs one more round)."""
+    seen = Observation()
+    after = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return after, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b), its component the smallest
     node reachable; a node without an edge has no row."""
-    now = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    now, check = _written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        check = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if check == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = check
-        after = stored(_small_star(_large_star(now)), "edges")
+        after, found = _written(_small_star(_large_star(now)))
         drop_stored(now)
         now = after
         forget(edges.sparkSession)
+        if found == check:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        check = found

@@ -15,7 +15,7 @@ Only components are asked for, so not all pairs of a token are made. In rounds,
 class is compared with one hub of each of its tokens, another one each round; links
 found so merge components, and tokens whose classes all lie in one component need
 nothing more. A group of near copies, however large, is settled so without its pairs.
-Rounds end when they no longer settle a quarter of what is left. Of the tokens left,
+Rounds end when they no longer settle half of what is left. Of the tokens left,
 those with at most ``few`` classes give their pairs. The classes of the others are
 gathered to clusters and dealt to cells of two blocks, of classes whose sizes fit. A
 cell first intersects the filters of the three orders for its pairs, as products of
@@ -385,7 +385,7 @@ def _step(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("int") if percent < 100 else F.col("n")
 
 
-def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int = 24, shrink: float = 0.75) -> DataFrame:
+def class_links(postings: DataFrame, features: DataFrame, percent: int, few: int = 24, shrink: float = 0.5) -> DataFrame:
     """Links that span the components of the classes."""
     open_, left = postings.withColumn("comp", F.col("cls")), None
     links = tried = None
