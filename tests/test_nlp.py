@@ -56,6 +56,21 @@ def test_punkt_training(spark):
     assert "inc" in p.abbreviations and p.ortho["is"] & segment.ANY_LC
 
 
+def test_model_beyond_its_head(spark):
+    """A small head and the joined rest split as the whole model does, row for row."""
+    made = ["Prof. Low met dr. Hill. The hill was low, etc. Said so... Then the prof. went on.", "the low road vs. The hill. x-etc. Hill said: \"No.\" low!", "", None]
+    texts = [(k, made[k % 4]) for k in range(40)] + [(41, "Zeta. zeta dr. Zeta Low. low prof. Then vs. hill etc. The end")] * 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    whole, small = segment.train(docs), segment.train(docs, most=2)
+    assert whole.rest is None and small.rest is not None and len(small.ortho) == 2
+    everything = dict(small.ortho)
+    for r in small.rest.collect():
+        everything[r.type] = everything.get(r.type, 0) | r.flags
+    assert {k: v & 127 for k, v in everything.items() if v & 127} == whole.ortho
+    assert sorted(segment.sentences(docs, small).collect()) == sorted(segment.sentences(docs, whole).collect())
+    assert segment.sentences(docs.limit(0), segment.train(docs.limit(0))).count() == 0
+
+
 def test_log2_sum_exp(spark):
     assert spark.range(1).select(T.log2_sum_exp(F.array(F.lit(math.log2(3)), F.lit(math.log2(5))))).first()[0] == pytest.approx(3)
 

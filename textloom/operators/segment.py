@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..storage import stored
 
 BEG_UC, MID_UC, UNK_UC, BEG_LC, MID_LC, UNK_LC = 2, 4, 8, 16, 32, 64
+#: Beside the flags of letter case in a row of the rest of a model: an abbreviation.
+SHORT = 128
 ANY_UC, ANY_LC = BEG_UC | MID_UC | UNK_UC, BEG_LC | MID_LC | UNK_LC
 #: Common English abbreviations, a seed where no trained parameters are given.
 SEED_ABBREVIATIONS = (
@@ -39,10 +42,22 @@ _INITIAL = re.compile(r"^[^\W\d_]\.$")
 
 @dataclass
 class Parameters:
+    """``rest`` (type, flags) holds what training found beyond the tables kept here;
+    ``sentences`` joins to each text what it needs of it, which becomes ``more``."""
+
     abbreviations: frozenset[str] = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS))
     collocations: frozenset[tuple[str, str]] = frozenset()
     starters: frozenset[str] = frozenset({"i"})
     ortho: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SEED_LOWER, BEG_UC | BEG_LC | MID_LC))
+    rest: DataFrame | None = None
+    more: Mapping[str, int] = field(default_factory=dict)
+
+    def abbreviates(self, word: str) -> bool:
+        return word in self.abbreviations or bool(self.more.get(word, 0) & SHORT)
+
+    def seen(self, kind: str) -> int:
+        found = self.ortho.get(kind)
+        return self.more.get(kind, 0) & (ANY_UC | ANY_LC) if found is None else found
 
 
 def ends(token: str) -> bool:
@@ -71,7 +86,7 @@ def _first_pass(t: _Token, p: Parameters) -> None:
         t.ellipsis = True
     elif t.text.endswith("."):
         word = t.text[:-1].lower()
-        if word in p.abbreviations or word.rsplit("-", 1)[-1] in p.abbreviations:
+        if p.abbreviates(word) or p.abbreviates(word.rsplit("-", 1)[-1]):
             t.abbreviated = True
         else:
             t.ends = True
@@ -81,7 +96,7 @@ def _evidence(t: _Token, p: Parameters) -> int:
     """1: it starts a sentence, 0: it does not, -1: unknown."""
     if t.text in {";", ":", ",", ".", "!", "?"}:
         return 0
-    seen = p.ortho.get(bare(t.text), 0)
+    seen = p.seen(bare(t.text))
     if t.upper and seen & ANY_LC and not seen & MID_UC:
         return 1
     if t.lower and (seen & ANY_UC or not seen & BEG_LC):
@@ -103,7 +118,7 @@ def _pair(one: _Token, two: _Token, p: Parameters) -> None:
             return
     if initial or first == "##number##":
         known = _evidence(two, p)
-        if known == 0 or (known == -1 and initial and two.upper and not p.ortho.get(following, 0) & ANY_LC):
+        if known == 0 or (known == -1 and initial and two.upper and not p.seen(following) & ANY_LC):
             one.ends, one.abbreviated = False, True
 
 
@@ -119,7 +134,7 @@ def _dotted(one: _Token, two: _Token, p: Parameters) -> None:
     if one.ends and _INTERNAL.search(one.text) and two.lower and following not in p.starters:
         one.ends = False
         return
-    if stop and not one.ends and two.upper and p.ortho.get(following, 0) & ANY_LC:
+    if stop and not one.ends and two.upper and p.seen(following) & ANY_LC:
         one.ends = True
     if not _ABBREVIATION.search(one.text) or _INITIAL.match(one.text):
         return
@@ -153,9 +168,53 @@ def sentences_udf(p: Parameters = Parameters()):
     return run
 
 
+def _needed_udf(p: Parameters):
+    """The types of a text that a rule may look up and that p does not hold itself. Only a
+    word that is not all letters and digits makes a rule look at the next one."""
+    p = replace(p, rest=None)
+
+    def needed(text: str | None) -> list[str]:
+        words = (text or "").split()
+        types = {bare(two) for one, two in zip(words, words[1:]) if not one.isalnum()} - p.ortho.keys()
+        short = {w[:-1].lower() for w in words if w.endswith(".")}
+        return list(types | (short | {w.rsplit("-", 1)[-1] for w in short}) - p.abbreviations)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(needed)
+
+    return run
+
+
+def _sentences_with_rest_udf(p: Parameters):
+    p = replace(p, rest=None)
+
+    def cut(text: str | None, types, flags) -> list[str]:
+        more: dict[str, int] = {}
+        if types is not None:
+            for t, f in zip(types, flags):
+                more[t] = more.get(t, 0) | int(f)
+        return split(text, replace(p, more=more))
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, types, flags in batches:
+            yield pd.Series([cut(*x) for x in zip(texts, types, flags)], dtype=object)
+
+    return run
+
+
 def sentences(docs: DataFrame, p: Parameters = Parameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sent_pos, text)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences_udf(p)(F.col(text_col))).alias("sent_pos", "text"))
+    """(doc_id, sent_pos, text). With p.rest, texts are joined by digest, so that copies
+    share it, to the entries of the rest that they need; else row by row."""
+    if p.rest is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences_udf(p)(F.col(text_col))).alias("sent_pos", "text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    needed = own.select("digest", F.explode(_needed_udf(p)(F.col("text"))).alias("type")).distinct()
+    found = needed.join(p.rest, "type").groupBy("digest").agg(F.collect_list(F.struct("type", "flags")).alias("more"))
+    cut = _sentences_with_rest_udf(p)(F.col("text"), F.col("more.type"), F.col("more.flags"))
+    return own.join(found, "digest", "left").select("doc_id", F.posexplode(cut).alias("sent_pos", "text"))
 
 
 def type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -182,27 +241,53 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return t.withColumn("a", a).select("type", "with_stop", "without_stop", score.alias("score"))
 
 
-def train(docs: DataFrame, text_col: str = "text", least: float = 0.3, most: int = 50_000) -> Parameters:
-    """Parameters from all texts: abbreviations by score, then orthographic contexts and
-    frequent starters from the breaks that the first pass makes with them. At most
-    ``most`` entries of each table, the most frequent, become part of the model."""
-    scored = abbreviation_scores(type_counts(docs, text_col)).filter((F.col("score") >= least) & (F.col("type") != "##number##") & F.col("type").rlike("[a-z]"))
-    found = frozenset(r[0] for r in scored.orderBy(F.desc("score"), "type").limit(most).collect()) | frozenset(C.EXTRA_ABBREVIATIONS)
-    contexts = ortho_contexts(docs, found, text_col)
-    ortho = {r[0]: r[1] for r in contexts.orderBy(F.desc("n"), "type").limit(most).select("type", "flags").collect()}
-    return Parameters(abbreviations=found, ortho=ortho)
+def _beyond(df: DataFrame, value: str, head: list[Row], most: int) -> DataFrame:
+    """The rows behind the last of head in the order (value descending, type)."""
+    if len(head) < most:
+        return df.limit(0)
+    last = head[-1]
+    return df.filter((F.col(value) < last[value]) | ((F.col(value) == last[value]) & (F.col("type") > last["type"])))
 
 
-def ortho_contexts(docs: DataFrame, abbreviations: frozenset[str] = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS)), text_col: str = "text") -> DataFrame:
-    """(type, flags, n): where types were seen in upper and lower case."""
+def train(docs: DataFrame, text_col: str = "text", least: float = 0.3, most: int = 50_000) -> Parameters:
+    """Parameters from all texts: abbreviations by score, then orthographic contexts. The
+    ``most`` entries of each table that score or occur most travel with the code; all
+    others stay a table, ``rest``, that ``sentences`` joins. Empty tables give no entries.
+    Collocations and frequent starters are not estimated."""
+    spark = docs.sparkSession
+    scored = abbreviation_scores(type_counts(docs, text_col)).filter((F.col("score") >= least) & (F.col("type") != "##number##") & F.col("type").rlike("[a-z]"))
+    scored = stored(scored.select("type", "score"), "abbreviations")
+    first = scored.orderBy(F.desc("score"), "type").limit(most).collect()
+    fixed = spark.createDataFrame([(x,) for x in C.EXTRA_ABBREVIATIONS], "type string")
+    contexts = stored(ortho_contexts(docs, scored.select("type").union(fixed).distinct(), text_col), "contexts")
+    ortho = contexts.orderBy(F.desc("n"), "type").limit(most).collect()
+    rest = None
+    if len(first) == most or len(ortho) == most:
+        short = _beyond(scored, "score", first, most).select("type", F.lit(SHORT).alias("flags"))
+        rest = _beyond(contexts, "n", ortho, most).select("type", "flags").union(short)
+    return Parameters(frozenset(r["type"] for r in first) | frozenset(C.EXTRA_ABBREVIATIONS), ortho={r["type"]: r["flags"] for r in ortho}, rest=rest)
+
+
+def ortho_contexts(docs: DataFrame, abbreviations: frozenset[str] | DataFrame = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS)), text_col: str = "text") -> DataFrame:
+    """(type, flags, n): where types were seen in upper and lower case. Abbreviations are
+    a short list or a table (type), which counted pairs are joined to."""
     words = T.space_split(F.col(text_col))
     pairs = docs.select(F.explode(F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, p: F.struct(w.alias("w"), p.alias("p")))).alias("x")).select("x.w", "x.p").filter("w is not null")
     base = F.regexp_replace(F.lower("w"), r"(?<=.)\.\z", "")
     stop = F.col("p").rlike(r"[.?!][)\"'’”]?\z")
-    short = F.regexp_replace(F.lower("p"), r"\.\z", "").isin(list(abbreviations))
-    where = F.when(F.col("p") == "", "beg").when(stop & ~short, "beg").when(stop, "unk").otherwise("mid")
-    upper, lower = F.col("w").rlike(r"^\p{Lu}"), F.col("w").rlike(r"^\p{Ll}")
+    before = F.regexp_replace(F.lower("p"), r"\.\z", "")
+    letter = F.when(F.col("w").rlike(r"^\p{Lu}"), "u").when(F.col("w").rlike(r"^\p{Ll}"), "l")
+    place = F.when(F.col("p") == "", "beg").when(stop, "stop").otherwise("mid")
+    if isinstance(abbreviations, DataFrame):
+        # A word not behind a stop gets a key that no abbreviation has, and not one for all.
+        key = F.when(place == "stop", before).otherwise(F.concat(F.lit(" "), base))
+        counted = pairs.select(base.alias("type"), letter.alias("letter"), place.alias("place"), key.alias("key")).filter("letter is not null").groupBy("type", "letter", "place", "key").agg(F.count("*").alias("n"))
+        known = abbreviations.select(F.col("type").alias("key"), F.lit(True).alias("short"))
+        counted = counted.join(known, "key", "left").withColumn("short", F.coalesce("short", F.lit(False)))
+    else:
+        counted = pairs.select(base.alias("type"), letter.alias("letter"), place.alias("place"), before.isin(list(abbreviations)).alias("short"), F.lit(1).cast("long").alias("n")).filter("letter is not null")
+    where = F.when(F.col("place") != "stop", F.col("place")).when(F.col("short"), "unk").otherwise("beg")
     flag = F.lit(0)
-    for place, uc, lc in (("beg", BEG_UC, BEG_LC), ("mid", MID_UC, MID_LC), ("unk", UNK_UC, UNK_LC)):
-        flag = F.when((where == place) & upper, uc).when((where == place) & lower, lc).otherwise(flag)
-    return pairs.select(base.alias("type"), flag.alias("f")).filter("f > 0").groupBy("type").agg(F.bit_or("f").alias("flags"), F.count("*").alias("n"))
+    for name, uc, lc in (("beg", BEG_UC, BEG_LC), ("mid", MID_UC, MID_LC), ("unk", UNK_UC, UNK_LC)):
+        flag = F.when((where == name) & (F.col("letter") == "u"), uc).when((where == name) & (F.col("letter") == "l"), lc).otherwise(flag)
+    return counted.select("type", flag.alias("f"), "n").groupBy("type").agg(F.bit_or("f").alias("flags"), F.sum("n").alias("n"))
