@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality classifier, near-duplicate removal, packing.
 
 STAGES are (name, function of (spark, docs, sf_dir)); run() applies them to the
-documents, each stage written as Parquet in the shared folder and read again.
+documents, each stage written as Parquet in the shared folder and read again, and deleted
+when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import jaccard, language, packing, quality
-from textloom.llm.common import stored, table
+from textloom.llm.common import drop_stored, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if k:
+            drop_stored(before)
     return STAGES[-1][1](spark, docs, sf_dir)

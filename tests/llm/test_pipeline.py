@@ -1,9 +1,11 @@
+import os
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from textloom.llm.common import stored  # noqa: E402
+from textloom.llm.common import scratch, shared_dir, stored  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,3 +32,29 @@ def test_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         none = stored(stage(spark, none, str(tmp_path)), name)
         assert none.count() == 0
+
+
+def test_stages_leave_no_large_frames(spark, tmp_path):
+    """Only the few rejected keys, which the returned plan reads, stay in the shared folder."""
+    rows = [(k, f"ba bo tab {'bot ' * (k % 7)}{'tob' * (k % 3)} ot{k // 2}", "aa", "s", 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = shared_dir(spark).removeprefix("file:")
+    for name, least in (("language_id", set()), ("quality_classifier", {"rejected"}), ("near_duplicates", {"gone"})):
+        before = set(os.listdir(folder))
+        left = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == least
+        assert left.count() > 0
+
+
+def test_scratch_keeps_what_it_is_told(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with scratch(spark) as keep:
+        with scratch(spark) as hold:
+            inner, gone = hold(stored(spark.range(3), "inner")), stored(spark.range(0), "none")
+            assert gone.count() == 0 and len(set(os.listdir(folder)) - before) == 2
+        outer = keep(stored(inner.groupBy("id").count(), "outer"))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"outer"} and outer.count() == 3
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == conf

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, released, stored, text_slices
+from .common import forget, released, text_slices
 
 BUCKETS = 1 << 17
 UNKNOWN = "und"
@@ -439,7 +439,8 @@ def label_words(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
 
 def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, all columns, whose language is known with at least this score;
-    a null language becomes the predicted one."""
+    a null language becomes the predicted one. Not stored: who reads them more than once
+    stores them, so that there is one copy."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
@@ -451,5 +452,4 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.5, text_co
             columns = [pa.array(langs, pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
-    # stored, so that a lost executor or a second reader does not judge all texts again
-    return stored(docs.mapInArrow(released(run, forget_scorers), docs.schema), "known")
+    return docs.mapInArrow(released(run, forget_scorers), docs.schema)
