@@ -552,3 +552,10 @@ def test_licence_files_are_scored_whole_and_the_root_is_an_ancestor(spark):
     rows = [(1, "LICENSE", mit), (2, "a/b/x.txt", "nothing"), (3, "c/COPYING", licences.BODIES["BSD-3-Clause"]), (4, "c/d/y.txt", None), (5, "e/LICENSE", licences.BODIES["ISC"]), (6, "/abs/z.txt", "x"), (7, "f/LICENSE", licences.BODIES["BSD-2-Clause"])]
     got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: "ISC", 6: None, 7: "BSD-2-Clause"}
+
+
+def test_licence_scan_is_planned_in_parts(spark):
+    docs = spark.createDataFrame([(0, "a/LICENSE", "Released under the MIT License."), (1, "a/b.txt", "x")], "doc_id long, path string, text string")
+    found = licences.scan(docs)
+    assert {(r.doc_id, r.licence, r.via) for r in found.collect()} == {(0, "MIT", "header"), (1, "MIT", "inherited")}
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: Names, notices and headings of common licences, as their projects ask to state them.
 #: What follows "#" tells templates of one licence apart.
@@ -83,17 +83,23 @@ def _words(text):
 
 
 def line_scores(lines: DataFrame, templates: dict[str, str], least: float, text_col: str = "line") -> DataFrame:
-    """(line, licence, score) of the distinct lines (line, n) that reach ``least``; their
-    words are those of ``text_col``."""
+    """(line, licence, score) of the distinct lines (line, n) that reach ``least``, stored;
+    their words are those of ``text_col``. Each step is stored, as one plan of all of them
+    takes much of the driver's memory."""
+    with scratch(lines.sparkSession) as keep:
+        return keep(stored(_line_scores(stored(lines, "lines"), templates, least, text_col), "scores"))
+
+
+def _line_scores(lines: DataFrame, templates: dict[str, str], least: float, text_col: str) -> DataFrame:
     spark = lines.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "licence string, text string")
-    words = lines.select("line", "n", F.explode(_words(F.col(text_col))).alias("w")).groupBy("line", "n", "w").agg(F.count("*").alias("tf"))
+    words = stored(lines.select("line", "n", F.explode(_words(F.col(text_col))).alias("w")).groupBy("line", "n", "w").agg(F.count("*").alias("tf")), "line-words")
     of_template = known.select("licence", F.explode(_words(F.col("text"))).alias("w")).groupBy("licence", "w").agg(F.count("*").alias("tf"))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).select((F.col("total") + len(templates)).alias("total"))
     df = words.groupBy("w").agg(F.sum("n").alias("df")).unionByName(of_template.groupBy("w").agg(F.count("*").alias("df"))).groupBy("w").agg(F.sum("df").alias("df"))
-    idf = df.crossJoin(F.broadcast(total)).select("w", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    lv = words.join(idf, "w").select("line", "w", (F.col("tf") * F.col("idf")).alias("x"))
-    tv = F.broadcast(of_template.join(idf, "w").select("licence", "w", (F.col("tf") * F.col("idf")).alias("y")))
+    idf = stored(df.crossJoin(F.broadcast(total)).select("w", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    lv = stored(words.join(idf, "w").select("line", "w", (F.col("tf") * F.col("idf")).alias("x")), "line-vectors")
+    tv = F.broadcast(stored(of_template.join(idf, "w").select("licence", "w", (F.col("tf") * F.col("idf")).alias("y")), "template-vectors"))
     ln = lv.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("lx"))
     tn = F.broadcast(tv.groupBy("licence").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ty")))
     dot = lv.join(tv, "w").groupBy("line", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
@@ -121,14 +127,14 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float
     whole_scores = line_scores(whole.groupBy("line").agg(F.count("*").alias("n"), F.min("body").alias("body")), BODIES, least, "body")
     scored = plain.join(scores, "line").unionByName(whole.drop("body").join(whole_scores, "line")).unionByName(tags)
     found = scored.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    found = found.select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("score"))
+    found = stored(found.select("doc_id", "path", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("score")), "found")
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*\z", 1)).when(F.col("path").isNotNull(), ".")
     licensed = found.filter(base.rlike(LICENCE_FILE)).groupBy(directory.alias("anc")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own_licence").alias("licence"))).alias("b"))
     dirs = own.select(directory.alias("dir")).distinct()
     parts = F.split("dir", "/")
     ancestors = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("anc")))).alias("a"))
     root = dirs.filter((F.col("dir") != ".") & (F.col("dir") != "") & ~F.col("dir").startswith("/")).select("dir", F.lit(0).alias("depth"), F.lit(".").alias("anc"))
-    inherited = ancestors.select("dir", "a.depth", "a.anc").unionByName(root).join(licensed, "anc").groupBy("dir").agg(F.max(F.struct("depth", F.col("b.licence").alias("licence"))).alias("b")).select("dir", F.col("b.licence").alias("inherited"))
+    inherited = stored(ancestors.select("dir", "a.depth", "a.anc").unionByName(root).join(licensed, "anc").groupBy("dir").agg(F.max(F.struct("depth", F.col("b.licence").alias("licence"))).alias("b")).select("dir", F.col("b.licence").alias("inherited")), "inherited")
     files_ = own.select("doc_id", "path", directory.alias("dir"))
     out = files_.join(found.select(F.col("doc_id").alias("f_id"), F.col("path").alias("f_path"), "own_licence", "score"), F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("path").eqNullSafe(F.col("f_path")), "left")
     out = out.join(inherited, "dir", "left")
