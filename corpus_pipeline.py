@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import jaccard, language, packing, quality
-from textloom.llm.common import drop_stored, stored, table
+from textloom.llm.common import drop_stored, relieve_executors, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text finds too strange go."""
+    relieve_executors(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at 0.8 stays."""
+    relieve_executors(spark)
     return jaccard.keep_one(docs, percent=80, width=5)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents placed in sequences of 4096 tokens."""
+    relieve_executors(spark)
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 

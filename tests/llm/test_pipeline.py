@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from textloom.llm.common import scratch, shared_dir, stored  # noqa: E402
+from textloom.llm.common import relieve_executors, scratch, shared_dir, stored  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +58,12 @@ def test_scratch_keeps_what_it_is_told(spark):
         outer = keep(stored(inner.groupBy("id").count(), "outer"))
     assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"outer"} and outer.count() == 3
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == conf
+
+
+def test_executors_collect_their_garbage(spark):
+    """The session is local, so the executor is the driver's JVM."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    collected = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collected()
+    relieve_executors(spark)
+    assert collected() > before
