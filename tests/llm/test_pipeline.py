@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from textloom.llm.common import relieve_executors, scratch, shared_dir, stored  # noqa: E402
+from textloom.llm.common import relieve_executors, scratch, shared_dir, stored, trim_jvm  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +67,16 @@ def test_executors_collect_their_garbage(spark):
     before = collected()
     relieve_executors(spark)
     assert collected() > before
+
+
+def test_the_drivers_jvm_gives_freed_memory_back(spark, monkeypatch):
+    assert trim_jvm(spark).startswith("Trim native heap")
+    from textloom.llm import common
+
+    trims = []
+    monkeypatch.setattr(common, "trim_jvm", trims.append)
+    common.forget(spark)
+    assert trims == [spark]
+    # and while a frame is written
+    stored(spark.range(1, numPartitions=1).selectExpr("id", "reflect('java.lang.Thread', 'sleep', 1000L * (1 + id)) as slept"), "slow")
+    assert len(trims) > 1
