@@ -441,6 +441,41 @@ def test_documents_get_the_librarys_ids(spark, empty):
     assert pieces.falling([("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("bc", 3, -5.0), ("abc", 4, -1.0)]) == ["abc"]
 
 
+def test_viterbis_path_is_traced_decoded_and_digested(spark):
+    """The digest's columns of Viterbi's path against a Viterbi in plain Python."""
+    path = P.path("piece_bpe_32k.model")
+    model = pieces.load(path)
+    rows = pieces.pieces_of(model)
+    known, longest, worst = {p: (i, score) for p, i, score in rows}, max(len(r[0]) for r in rows), min(r[2] for r in rows) - 10.0
+
+    def best_ids(word):
+        best = [(0.0, -1, ())]
+        for e in range(1, len(word) + 1):
+            found = [(s, *known[word[s:e]]) for s in range(max(0, e - longest), e) if word[s:e] in known]
+            found += [(e - 1, -1, worst)] if word[e - 1] not in known else []
+            # of equal paths the one whose last piece is longer
+            score, _, s, i = max((best[s][0] + score, -s, s, i) for s, i, score in found)
+            best.append((score, s, (i,) if i >= 0 else tuple(model.piece_to_id(f"<0x{b:02X}>") for b in word[e - 1].encode())))
+        out, at = [], len(word)
+        while at:
+            out, at = [*best[at][2], *out], best[at][1]
+        return out
+
+    texts = ["", None, " ", "Hello  world, it's 1234 日本.\n\tx", "theration " * 40, "aaaaaaaa" * 20, "e\u0301 🎉🎉 ñ", "no id"]
+    docs = spark.createDataFrame([(k if t != "no id" else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    names = [r[0] for r in rows]
+    ids = {r.doc_id: r.ids for r in pieces.encode_documents(docs, path, kind="unigram").collect()}
+    differ = 0
+    for head in (1 << 18, 3):
+        for r in pieces.encode_digest(docs, path, head=head).collect():
+            each = [best_ids(w) for w in pieces.words_of((texts[r.doc_id] if r.doc_id is not None else "no id") or "", names)]
+            digest = sum(zlib.crc32(np.array(x, dtype="<i4").tobytes()) % 2147483647 * pow(16807, k, 2147483647) for k, x in enumerate(each)) % 2147483647
+            assert (r.n_viterbi, r.viterbi_digest, r.viterbi_round_trip) == (sum(map(len, each)), digest, True)
+            assert ids[r.doc_id] == [i for x in each for i in x]
+            differ += r.viterbi_digest != r.ids_digest
+    assert differ
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 

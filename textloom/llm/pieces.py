@@ -19,7 +19,8 @@ a model is made by joins of falling score (``falling`` lists pieces that are; wo
 hold one, and words of more than LONG_WORD characters, whose places do not fit the
 fold's bits, take the joins one by one with a heap, in Arrow batches). Viterbi over a BPE
 model's scores (ranks) is the best path of the lattice too, but not the ids that the
-library gives; the query returns its number of pieces beside the library's ids.
+library gives. So the query takes both through to the end: the digest of the ids on
+Viterbi's path, traced back and decoded again, stands beside that of the library's ids.
 
 ``encode_documents`` gives each document its ids in order. For ``encode_digest`` the
 ``head`` most frequent words (a fixed number, broadcast as 64-bit hashes and numbers) are
@@ -159,17 +160,14 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, missing: float) -
 
 
 def viterbi(edges):
-    """The best entry at each end: (score, start of its last piece, that piece's id, number
-    of ids so far). The ends come in order, so an edge either opens the next end or
-    competes for the last. A character without a piece has as many ids as bytes."""
-    entry = lambda score, s, i, n: F.struct(score.alias("score"), s.alias("s"), i.alias("id"), n.alias("n"))
-    start = F.array(entry(F.lit(0.0), F.lit(-1), F.lit(-1), F.lit(0)))
+    """The best entry at each end: (score, start of its last piece, that piece's id). The
+    ends come in order, so an edge either opens the next end or competes for the last."""
+    entry = lambda score, s, i: F.struct(score.alias("score"), s.alias("s"), i.alias("id"))
+    start = F.array(entry(F.lit(0.0), F.lit(-1), F.lit(-1)))
 
     def relax(best, edge):
-        back = F.element_at(best, edge["s"] + 1)
-        score = back["score"] + edge["score"]
-        more = F.when(edge["id"] >= 0, 1).otherwise(F.octet_length(F.substring(F.col("word"), edge["e"], F.lit(1))))
-        made = F.array(entry(score, edge["s"], edge["id"], back["n"] + more))
+        score = F.element_at(best, edge["s"] + 1)["score"] + edge["score"]
+        made = F.array(entry(score, edge["s"], edge["id"]))
         return F.when(edge["e"] >= F.size(best), F.concat(best, made)).when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, 1, F.size(best) - 1), made)).otherwise(best)
 
     return F.aggregate(edges, start, relax)
@@ -272,16 +270,16 @@ _EDGES_SQL = "array<struct<e:int,s:int,id:int,score:double>>"
 
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, missing: float, byte0: int, kind: str = "bpe", odd: tuple[str, ...] = (), both: bool = False) -> DataFrame:
     """(word, ids) of distinct words; ``odd`` are falling() pieces of a BPE model. With
-    ``both``, n_best is the number of pieces on Viterbi's path."""
+    ``both``, ``best`` holds the ids on Viterbi's path."""
     made = lattice(words.select("word"), pieces, longest, missing)
-    table = viterbi(F.col("edges"))
+    # an array of one value binds the table once; trace() reads it at every step
+    best = F.flatten(F.transform(F.array(viterbi(F.col("edges"))), trace))
     hexes = lambda x: F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
     as_bytes = lambda x: F.transform(F.sequence(F.lit(1), F.length(hexes(x)), F.lit(2)), lambda i: (F.conv(F.substring(hexes(x), i, F.lit(2)), 16, 10).cast("int") + byte0))
     mixed = lambda path: F.flatten(F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(as_bytes(x))))
     ids = lambda path: F.when(F.exists("edges", lambda x: x["id"] < 0), mixed(path)).otherwise(F.transform(path, lambda x: x["id"]))
     if kind == "unigram":
-        # an array of one value binds the table once; trace() reads it at every step
-        made = made.withColumn("path", F.flatten(F.transform(F.array(table), trace)))
+        made = made.withColumn("path", best)
     else:
         size = F.char_length("word")
         far = size > LONG_WORD
@@ -291,8 +289,9 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, missing: flo
         # the long ones' lattices are made apart, so that few rows reach the workers
         long = lattice(words.filter(far).select("word"), pieces, longest, missing)
         made = short.unionByName(long.mapInArrow(_merge_each, f"word string, edges {_EDGES_SQL}, path array<struct<s:int,id:int>>"))
-    out = made.select("word", ids(F.col("path")).alias("ids"), *([F.element_at(table, -1)["n"].alias("n_best")] if both else []))
-    return out
+    if both:
+        made = made.withColumn("best", F.col("path") if kind == "unigram" else best)
+    return made.select("word", *(ids(F.col(x)).alias(y) for x, y in (("path", "ids"), ("best", "best"))[: 1 + both]))
 
 
 def decoder(model) -> list[bytes]:
@@ -322,26 +321,36 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "text
     return encoded.mapInArrow(run, encoded_schema)
 
 
+_ENCODED = "key long, ids array<int>, n int, crc long, same boolean, n_best int, best_crc long, best_same boolean"
+
+
 def _checked(path: str):
-    """Adds each word's number of ids, their crc32, and whether they decode to the word."""
-    schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32())), ("n", pa.int32()), ("n_best", pa.int32()), ("crc", pa.int64()), ("same", pa.bool_())])
+    """Adds each word's number of ids, their crc32, and whether they decode to the word, and
+    the same of the ids on Viterbi's path, which may be null."""
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in _ENCODED.split(", ")])
+
+    def looked(words, lists, table):
+        flat, ends = lists.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        raw, ids = flat.tobytes(), flat.tolist()
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans]
+        same = [b"".join([table[i] for i in ids[a:b]]) == w for w, (a, b) in zip(words, spans, strict=True)]
+        return [pa.array(np.diff(ends).astype(np.int32)), pa.array(crc, pa.int64()), pa.array(same)]
 
     def run(batches):
         table = decoder(load(path))
         for batch in batches:
-            words, lists = batch.column(0).to_pylist(), batch.column(1)
-            flat, ends = lists.flatten().to_numpy().astype("<i4"), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            raw, ids = flat.tobytes(), flat.tolist()
-            spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans]
-            same = [b"".join([table[i] for i in ids[a:b]]) == w.replace(SPACE, " ").encode() for w, (a, b) in zip(words, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hash_words(words)), lists.cast(pa.list_(pa.int32())), pa.array(np.diff(ends).astype(np.int32)), batch.column(2), pa.array(crc, pa.int64()), pa.array(same)], schema=schema)
+            words, lists, best = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            plain = [w.replace(SPACE, " ").encode() for w in words]
+            viterbis = looked(plain, best, table) if not best.null_count else [pa.nulls(len(words), t) for t in (pa.int32(), pa.int64(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(hash_words(words)), lists.cast(pa.list_(pa.int32())), *looked(plain, lists, table), *viterbis], schema=schema)
 
     return released(run)
 
 
 def encoded_vocabulary(docs: DataFrame, path: str, kind: str = "bpe", both: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(key, n) of the distinct words of (text), and (key, ids, n, n_best, crc, same)."""
+    """(key, n) of the distinct words of (text), and what _checked() tells of each."""
     spark = docs.sparkSession
     rows = pieces_of(load(path))
     pieces, longest, missing, byte0 = piece_table(spark, path)
@@ -354,8 +363,8 @@ def encoded_vocabulary(docs: DataFrame, path: str, kind: str = "bpe", both: bool
     try:
         dealt = words.select("key", "word").repartition(max(shuffle_partitions(spark), -(-words.count() // _WORDS_A_TASK)), "word")
         made = encode_words(dealt, pieces, longest, missing, byte0, kind, tuple(falling(rows)) if kind == "bpe" else (), both)
-        made = made.select("word", "ids", F.col("n_best") if both else F.lit(None).cast("int").alias("n_best"))
-        encoded = stored(made.mapInArrow(_checked(path), "key long, ids array<int>, n int, n_best int, crc long, same boolean"), "encoded")
+        made = made.select("word", "ids", F.col("best") if both else F.lit(None).cast("array<int>").alias("best"))
+        encoded = stored(made.mapInArrow(_checked(path), _ENCODED), "encoded")
     finally:
         spark.conf.set(fallback, before)
     return words, encoded
@@ -376,8 +385,9 @@ class _Head:
         key = found.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         self.key = np.append(key[order], np.iinfo(np.int64).max)
-        self.columns = [np.append(found.column(c).to_numpy()[order], 0).astype(np.int64) for c in ("n", "n_best", "crc", "same")]
-        self.columns[2] %= _DIGEST
+        self.columns = {c: np.append(found.column(c).to_numpy()[order], 0).astype(np.int64) for c in ("n", "crc", "same", "n_best", "best_crc", "best_same")}
+        for c in ("crc", "best_crc"):
+            self.columns[c] %= _DIGEST
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
@@ -385,7 +395,7 @@ class _Head:
         return np.where(self.key[at] == key, at, -1)
 
 
-_PLACED = "row long, doc_id long, n_words long, n long, n_best long, digest long, same boolean, place long, key long"
+_PLACED = "row long, doc_id long, n_words long, n long, digest long, n_best long, best_digest long, same boolean, best_same boolean, place long, key long"
 
 
 def place_weight(places: np.ndarray) -> np.ndarray:
@@ -417,15 +427,15 @@ def _placed(shared, pieces: list[str]):
                 at = head.find(key)[which]
                 weight = near[place] if place.max(initial=0) < len(near) else place_weight(place)
                 # sums of integers below 2^53, which bincount adds exactly
-                sums = [np.bincount(owner, x, n) for x in (head.columns[0][at], head.columns[1][at], head.columns[2][at] * weight % _DIGEST)]
-                other = np.zeros(n, dtype=bool)
-                other[owner[(at >= 0) & (head.columns[3][at] == 0)]] = True
+                of = head.columns
+                sums = [np.bincount(owner, x, n) for x in (of["n"][at], of["crc"][at] * weight % _DIGEST, of["n_best"][at], of["best_crc"][at] * weight % _DIGEST)]
+                same = [np.bincount(owner, (at >= 0) & (of[c][at] == 0), n) == 0 for c in ("same", "best_same")]
                 rest = np.flatnonzero(at < 0)
                 null = lambda t: pa.nulls(len(rest), t)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([row + np.arange(n), row + owner[rest]])), pa.concat_arrays([batch.column(0).slice(low, n).cast(pa.int64()), null(pa.int64())]),
-                        *(pa.concat_arrays([pa.array(x.astype(np.int64)), null(pa.int64())]) for x in (n_words, sums[0], sums[1], sums[2])), pa.concat_arrays([pa.array(~other), null(pa.bool_())]),
+                        *(pa.concat_arrays([pa.array(x.astype(np.int64)), null(pa.int64())]) for x in (n_words, *sums)), *(pa.concat_arrays([pa.array(x), null(pa.bool_())]) for x in same),
                         pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(weight[rest])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[rest])]),
                     ],
                     schema=schema,
@@ -436,23 +446,36 @@ def _placed(shared, pieces: list[str]):
 
 
 def encode_digest(docs: DataFrame, path: str, head: int = 1 << 18, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_pieces, n_viterbi, ids_digest, round_trip of every document. The
-    digest sums crc32 of each word's ids times a root to the power of the word's place,
-    modulo the prime 2^31 - 1, so words in another order give another digest."""
+    """doc_id, n_words, n_pieces, n_viterbi, ids_digest, round_trip, viterbi_digest and
+    viterbi_round_trip of every document. A digest sums crc32 of each word's ids times a
+    root to the power of the word's place, modulo the prime 2^31 - 1, so words in another
+    order give another digest. Those of Viterbi's path are over the ids that
+    encode_documents() gives for the kind ``unigram``."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words, encoded = encoded_vocabulary(own, path, kind)
     pieces = [r[0] for r in pieces_of(load(path))]
-    top = words.filter(most_frequent(words, "n", head)).select("key").join(encoded.select("key", "n", "n_best", "crc", F.col("same").cast("int").alias("same")), "key").toArrow()
+    flag = lambda c: F.col(c).cast("int").alias(c)
+    top = words.filter(most_frequent(words, "n", head)).select("key").join(encoded.select("key", "n", "crc", flag("same"), "n_best", "best_crc", flag("best_same")), "key").toArrow()
     shared = spark.sparkContext.broadcast(_Head(top))
     drop_stored(words)
     placed = stored(own.mapInArrow(_placed(shared, pieces), _PLACED), "placed")
-    rest = placed.filter("key is not null").select("row", "place", "key").join(encoded.select("key", F.col("n").alias("w_n"), F.col("n_best").alias("w_best"), "crc", F.col("same").alias("w_same")), "key")
-    rest = rest.groupBy("row").agg(F.sum("w_n").alias("more"), F.sum("w_best").alias("more_best"), F.sum(F.col("crc") % _DIGEST * F.col("place") % _DIGEST).alias("more_digest"), F.min("w_same").alias("more_same"))
-    docs_ = placed.filter("key is null").select(F.col("row").alias("r"), "doc_id", "n_words", "n", "n_best", "digest", "same")
+    by_word = encoded.select("key", *(F.col(c).alias(f"w_{c}") for c in ("n", "crc", "same", "n_best", "best_crc", "best_same")))
+    rest = placed.filter("key is not null").select("row", "place", "key").join(by_word, "key")
+    digest = lambda c: F.sum(F.col(c) % _DIGEST * F.col("place") % _DIGEST)
+    rest = rest.groupBy("row").agg(
+        F.sum("w_n").alias("more"), digest("w_crc").alias("more_digest"), F.min("w_same").alias("more_same"),
+        F.sum("w_n_best").alias("more_best"), digest("w_best_crc").alias("more_best_digest"), F.min("w_best_same").alias("more_best_same"),
+    )
+    docs_ = placed.filter("key is null").drop("place", "key").withColumnRenamed("row", "r")
     out = docs_.join(rest, docs_["r"] == rest["row"], "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select("doc_id", "n_words", plus("n", "more").alias("n_pieces"), plus("n_best", "more_best").alias("n_viterbi"), (plus("digest", "more_digest") % _DIGEST).alias("ids_digest"), (F.col("same") & F.coalesce("more_same", F.lit(True))).alias("round_trip"))
+    both = lambda a, b: F.col(a) & F.coalesce(b, F.lit(True))
+    return out.select(
+        "doc_id", "n_words", plus("n", "more").alias("n_pieces"), plus("n_best", "more_best").alias("n_viterbi"),
+        (plus("digest", "more_digest") % _DIGEST).alias("ids_digest"), both("same", "more_same").alias("round_trip"),
+        (plus("best_digest", "more_best_digest") % _DIGEST).alias("viterbi_digest"), both("best_same", "more_best_same").alias("viterbi_round_trip"),
+    )
 
 
 def _keyed(pieces: list[str]):
