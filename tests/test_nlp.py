@@ -50,6 +50,25 @@ def test_sentences_keep_all_text():
     assert segment.split(None) == []
 
 
+def test_only_tokens_with_a_stop_are_judged(monkeypatch):
+    """Words without a stop cost nothing but the search for stops."""
+    seen, first = [], segment._first_pass
+    monkeypatch.setattr(segment, "_first_pass", lambda t, p: (seen.append(t.text), first(t, p)))
+    assert segment.split("we met Mr. Lee in town (at noon) . Then\u2003he, of all, left?\nso") == ["we met Mr. Lee in town (at noon) .", "Then\u2003he, of all, left?", "so"]
+    assert seen == ["Mr.", ".", "left?"]
+
+
+def test_words_are_counted_before_they_get_a_type(spark):
+    """Lower case and types are for distinct words: they stand above the first count."""
+    docs = spark.createDataFrame([("Is. 1,2. a. b) c.) D ##number## . -. .5",)], "text string")
+    got = {r.type: (r.with_stop, r.without_stop) for r in segment.type_counts(docs).collect()}
+    assert got == {"is": (1, 0), "##number##": (1, 2), "a": (1, 0), "b)": (0, 1), "c.)": (0, 1), "d": (0, 1), ".": (0, 1), "-": (1, 0)}
+    for made in (segment.type_counts(docs), segment.ortho_contexts(docs)):
+        lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        first = max(k for k, x in enumerate(lines) if "Aggregate [w" in x)
+        assert any("lower(w" in x for x in lines[: first + 1]) and not any("lower(w" in x for x in lines[first + 1 :])
+
+
 def test_punkt_training(spark):
     docs = spark.createDataFrame([("The firm Abco inc. is old. It sells xyz. abc. things to Abco inc. and others.",)] * 20, "text string")
     p = segment.train(docs)

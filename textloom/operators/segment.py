@@ -13,7 +13,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -38,12 +38,16 @@ _NUMBER = re.compile(r"^-?[.,]?\d[\d,.-]*\.?$")
 _ABBREVIATION, _ELLIPSIS = re.compile(C.ABBREVIATION), re.compile(C.ELLIPSIS)
 _INTERNAL = re.compile(r"[)’”\"']$")
 _INITIAL = re.compile(r"^[^\W\d_]\.$")
+#: A token from its first stop on, and the token behind a place.
+_STOP, _NEXT = re.compile(r"[.?!]\S*"), re.compile(r"\s+(\S+)")
+_INNER = re.compile("|".join(map(re.escape, C.INNER_ENDERS)))
 
 
 @dataclass
 class Parameters:
     """``rest`` (type, flags) holds what training found beyond the tables kept here;
-    ``sentences`` joins to each text what it needs of it, which becomes ``more``."""
+    ``sentences`` joins to each text what it needs of it, which becomes ``more``. Without
+    ``rest_abbreviates`` all abbreviations are here and the rest has letter cases alone."""
 
     abbreviations: frozenset[str] = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS))
     collocations: frozenset[tuple[str, str]] = frozenset()
@@ -51,6 +55,7 @@ class Parameters:
     ortho: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SEED_LOWER, BEG_UC | BEG_LC | MID_LC))
     rest: DataFrame | None = None
     more: Mapping[str, int] = field(default_factory=dict)
+    rest_abbreviates: bool = True
 
     def abbreviates(self, word: str) -> bool:
         return word in self.abbreviations or bool(self.more.get(word, 0) & SHORT)
@@ -61,7 +66,7 @@ class Parameters:
 
 
 def ends(token: str) -> bool:
-    return (token.endswith(C.ENDERS) and C.NEVER_END not in token) or any(x in token for x in C.INNER_ENDERS)
+    return (token.endswith(C.ENDERS) and C.NEVER_END not in token) or bool(_INNER.search(token))
 
 
 def type_of(token: str) -> str:
@@ -74,15 +79,26 @@ def bare(token: str) -> str:
 
 
 class _Token:
-    def __init__(self, text: str):
-        self.text, self.ends, self.abbreviated, self.ellipsis = text, False, False, False
-        self.upper, self.lower = text[:1].isupper(), text[:1].islower()
+    """``single``: its only stop is its last character."""
+
+    __slots__ = ("text", "single", "ends", "abbreviated", "ellipsis")
+
+    def __init__(self, text: str, single: bool = False):
+        self.text, self.single, self.ends, self.abbreviated, self.ellipsis = text, single, False, False, False
+
+    @property
+    def upper(self) -> bool:
+        return self.text[:1].isupper()
+
+    @property
+    def lower(self) -> bool:
+        return self.text[:1].islower()
 
 
 def _first_pass(t: _Token, p: Parameters) -> None:
-    if ends(t.text):
+    if not (t.single and t.text.endswith(".")) and ends(t.text):
         t.ends = True
-    elif re.search(r"\.\.+$", t.text):
+    elif t.text.endswith(".."):
         t.ellipsis = True
     elif t.text.endswith("."):
         word = t.text[:-1].lower()
@@ -142,21 +158,55 @@ def _dotted(one: _Token, two: _Token, p: Parameters) -> None:
     one.ends = _evidence(two, p) == 1 or (two.upper and following in p.starters)
 
 
+def _stop_tokens(text: str) -> tuple[list[_Token], list[tuple[int, int]]]:
+    """The tokens that hold a stop, and their places. No other can end a sentence or be
+    changed by a rule."""
+    tokens, places, done = [], [], 0
+    for m in _STOP.finditer(text):
+        at, end = m.span()
+        head = text[done:at]
+        start = at if not head or head[-1].isspace() else at - len(head.rsplit(None, 1)[-1])
+        tokens.append(_Token(text[start:end], at == end - 1))
+        places.append((start, end))
+        done = end
+    return tokens, places
+
+
+def _settled(t: _Token, p: Parameters) -> bool:
+    """Whether no rule changes a token after the first pass, save one on a lone stop behind
+    it: a word that is no initial, number or abbreviation, with one stop, its last
+    character. No rule looks up what stands behind it."""
+    return t.single and t.ends and len(t.text) > 2 and t.text[0].isalpha() and not p.collocations
+
+
+def _pairs(text: str, tokens: list[_Token], places: list[tuple[int, int]], settled) -> list[tuple[_Token, _Token]]:
+    """Each token that is not settled, or has a lone stop behind it, with what is there."""
+    out = []
+    for k, t in enumerate(tokens):
+        lone = k + 1 < len(tokens) and len(tokens[k + 1].text) == 1
+        if (lone or not settled(t)) and (two := _NEXT.match(text, places[k][1])):
+            same = k + 1 < len(tokens) and places[k + 1][0] == two.start(1)
+            out.append((t, tokens[k + 1] if same else _Token(two.group(1))))
+    return out
+
+
 def split(text: str | None, p: Parameters = Parameters()) -> list[str]:
     """The sentences of a text, trimmed, inner line breaks kept."""
-    found = list(re.finditer(r"\S+", text or ""))
-    tokens = [_Token(m.group()) for m in found]
+    text = text or ""
+    tokens, places = _stop_tokens(text)
     for t in tokens:
         _first_pass(t, p)
+    pairs = _pairs(text, tokens, places, lambda t: _settled(t, p))
     for rule in (_pair, _dotted):
-        for one, two in zip(tokens, tokens[1:]):
+        for one, two in pairs:
             rule(one, two, p)
     out, start = [], 0
-    for k, t in enumerate(tokens):
-        if t.ends or k == len(tokens) - 1:
-            out.append(text[found[start].start() : found[k].end()].strip())
-            start = k + 1
-    return out
+    for t, (_, end) in zip(tokens, places):
+        if t.ends:
+            out.append(text[start:end].strip())
+            start = end
+    last = text[start:].strip()
+    return [*out, last] if last else out
 
 
 def sentences_udf(p: Parameters = Parameters()):
@@ -168,21 +218,27 @@ def sentences_udf(p: Parameters = Parameters()):
     return run
 
 
+def _needed(text: str | None, p: Parameters) -> list[str]:
+    """The types of a text that a rule may look up and that p does not hold itself."""
+    tokens, places = _stop_tokens(text or "")
+    for t in tokens:
+        _first_pass(t, p)
+    # Where the rest has abbreviations, a word with a final stop may be one.
+    settled = lambda t: _settled(t, p) and not (p.rest_abbreviates and t.text.endswith("."))
+    types = {t for _, two in _pairs(text or "", tokens, places, settled) if (t := bare(two.text)) not in p.ortho}
+    if not p.rest_abbreviates:
+        return list(types)
+    short = {t.text[:-1].lower() for t in tokens if t.text.endswith(".")}
+    return list(types | (short | {w.rsplit("-", 1)[-1] for w in short}) - p.abbreviations)
+
+
 def _needed_udf(p: Parameters):
-    """The types of a text that a rule may look up and that p does not hold itself. Only a
-    word that is not all letters and digits makes a rule look at the next one."""
     p = replace(p, rest=None)
 
-    def needed(text: str | None) -> list[str]:
-        words = (text or "").split()
-        types = {bare(two) for one, two in zip(words, words[1:]) if not one.isalnum()} - p.ortho.keys()
-        short = {w[:-1].lower() for w in words if w.endswith(".")}
-        return list(types | (short | {w.rsplit("-", 1)[-1] for w in short}) - p.abbreviations)
-
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(needed)
+            yield texts.map(lambda t: _needed(t, p))
 
     return run
 
@@ -206,24 +262,32 @@ def _sentences_with_rest_udf(p: Parameters):
 
 
 def sentences(docs: DataFrame, p: Parameters = Parameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sent_pos, text). With p.rest, texts are joined by digest, so that copies
-    share it, to the entries of the rest that they need; else row by row."""
+    """(doc_id, sent_pos, text). With p.rest, texts are joined by hash, so that copies
+    share it, to the entries of the rest that they need (texts of one hash get those of
+    both); else row by row."""
     if p.rest is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences_udf(p)(F.col(text_col))).alias("sent_pos", "text"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
     needed = own.select("digest", F.explode(_needed_udf(p)(F.col("text"))).alias("type")).distinct()
     found = needed.join(p.rest, "type").groupBy("digest").agg(F.collect_list(F.struct("type", "flags")).alias("more"))
     cut = _sentences_with_rest_udf(p)(F.col("text"), F.col("more.type"), F.col("more.flags"))
     return own.join(found, "digest", "left").select("doc_id", F.posexplode(cut).alias("sent_pos", "text"))
 
 
+def _without_stop(word: Column) -> Column:
+    """The word without a final stop, unless it is one."""
+    return F.when(word.endswith(".") & (F.char_length(word) > 1), F.left(word, F.char_length(word) - 1)).otherwise(word)
+
+
 def type_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(type, with_stop, without_stop): how often each type has a final stop."""
-    word = docs.select(F.explode(T.space_split(F.col(text_col))).alias("w"))
-    kind = F.when(F.col("w").rlike(r"^-?[.,]?[0-9][0-9,.-]*\.?\z"), "##number##").otherwise(F.lower("w"))
+    """(type, with_stop, without_stop): how often each type has a final stop. Words are
+    counted as they stand, so that distinct ones alone get a type."""
+    word = docs.select(F.explode(T.space_split(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    number = (F.col("w") < ":") & F.col("w").rlike(r"^-?[.,]?[0-9][0-9,.-]*\.?\z")
+    base = F.when(number, "##number##").otherwise(_without_stop(F.lower("w")))
     stop = F.col("w").endswith(".") & (F.char_length("w") > 1)
-    base = F.when((kind != "##number##") & stop, F.left(kind, F.char_length(kind) - 1)).otherwise(kind)
-    return word.select(base.alias("type"), stop.cast("long").alias("s")).groupBy("type").agg(F.sum("s").alias("with_stop"), F.sum(1 - F.col("s")).alias("without_stop"))
+    kinds = word.select(base.alias("type"), F.when(stop, F.col("n")).otherwise(0).alias("s"), "n")
+    return kinds.groupBy("type").agg(F.sum("s").alias("with_stop"), F.sum(F.col("n") - F.col("s")).alias("without_stop"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -255,39 +319,52 @@ def train(docs: DataFrame, text_col: str = "text", least: float = 0.3, most: int
     others stay a table, ``rest``, that ``sentences`` joins. Empty tables give no entries.
     Collocations and frequent starters are not estimated."""
     spark = docs.sparkSession
-    scored = abbreviation_scores(type_counts(docs, text_col)).filter((F.col("score") >= least) & (F.col("type") != "##number##") & F.col("type").rlike("[a-z]"))
+    counts = stored(type_counts(docs, text_col), "types")
+    scored = abbreviation_scores(counts).filter((F.col("score") >= least) & (F.col("type") != "##number##") & F.col("type").rlike("[a-z]"))
     scored = stored(scored.select("type", "score"), "abbreviations")
     first = scored.orderBy(F.desc("score"), "type").limit(most).collect()
     fixed = spark.createDataFrame([(x,) for x in C.EXTRA_ABBREVIATIONS], "type string")
-    contexts = stored(ortho_contexts(docs, scored.select("type").union(fixed).distinct(), text_col), "contexts")
+    known = scored.select("type").union(fixed).distinct()
+    contexts = stored(ortho_contexts(docs, known, text_col, few=len(first) < most), "contexts")
     ortho = contexts.orderBy(F.desc("n"), "type").limit(most).collect()
     rest = None
     if len(first) == most or len(ortho) == most:
         short = _beyond(scored, "score", first, most).select("type", F.lit(SHORT).alias("flags"))
         rest = _beyond(contexts, "n", ortho, most).select("type", "flags").union(short)
-    return Parameters(frozenset(r["type"] for r in first) | frozenset(C.EXTRA_ABBREVIATIONS), ortho={r["type"]: r["flags"] for r in ortho}, rest=rest)
+    return Parameters(frozenset(r["type"] for r in first) | frozenset(C.EXTRA_ABBREVIATIONS), ortho={r["type"]: r["flags"] for r in ortho}, rest=rest, rest_abbreviates=len(first) == most)
 
 
-def ortho_contexts(docs: DataFrame, abbreviations: frozenset[str] | DataFrame = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS)), text_col: str = "text") -> DataFrame:
+def ortho_contexts(
+    docs: DataFrame, abbreviations: frozenset[str] | DataFrame = frozenset((*SEED_ABBREVIATIONS, *C.EXTRA_ABBREVIATIONS)), text_col: str = "text", few: bool = False
+) -> DataFrame:
     """(type, flags, n): where types were seen in upper and lower case. Abbreviations are
-    a short list or a table (type), which counted pairs are joined to."""
-    words = T.space_split(F.col(text_col))
-    pairs = docs.select(F.explode(F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, p: F.struct(w.alias("w"), p.alias("p")))).alias("x")).select("x.w", "x.p").filter("w is not null")
-    base = F.regexp_replace(F.lower("w"), r"(?<=.)\.\z", "")
-    stop = F.col("p").rlike(r"[.?!][)\"'’”]?\z")
+    a short list or a table (type): of ``few``, each pair meets it before pairs are counted,
+    else counted pairs are joined to it. Words are counted as they stand, so that distinct
+    ones alone get a type."""
+    words = docs.select(T.space_split(F.col(text_col)).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip("w", F.concat(F.array(F.lit("")), "w").alias("p"))).alias("x")).select("x.w", "x.p").filter("w is not null")
+    p, w = F.col("p"), F.col("w")
+    closed = F.lit(False)
+    for x in (")", '"', "'", "’", "”"):
+        closed = closed | p.endswith(x)
+    stop = p.endswith(".") | p.endswith("?") | p.endswith("!") | (closed & p.rlike(r"[.?!][)\"'’”]\z"))
     before = F.regexp_replace(F.lower("p"), r"\.\z", "")
-    letter = F.when(F.col("w").rlike(r"^\p{Lu}"), "u").when(F.col("w").rlike(r"^\p{Ll}"), "l")
-    place = F.when(F.col("p") == "", "beg").when(stop, "stop").otherwise("mid")
+    place = F.when(p == "", "beg").when(stop, "stop").otherwise("mid")
+    behind = pairs.select("w", place.alias("place"), F.when(stop, before).alias("key"))
     if isinstance(abbreviations, DataFrame):
-        # A word not behind a stop gets a key that no abbreviation has, and not one for all.
-        key = F.when(place == "stop", before).otherwise(F.concat(F.lit(" "), base))
-        counted = pairs.select(base.alias("type"), letter.alias("letter"), place.alias("place"), key.alias("key")).filter("letter is not null").groupBy("type", "letter", "place", "key").agg(F.count("*").alias("n"))
         known = abbreviations.select(F.col("type").alias("key"), F.lit(True).alias("short"))
-        counted = counted.join(known, "key", "left").withColumn("short", F.coalesce("short", F.lit(False)))
-    else:
-        counted = pairs.select(base.alias("type"), letter.alias("letter"), place.alias("place"), before.isin(list(abbreviations)).alias("short"), F.lit(1).cast("long").alias("n")).filter("letter is not null")
+    if not isinstance(abbreviations, DataFrame):
+        behind = behind.withColumn("short", F.col("key").isin(list(abbreviations))).drop("key")
+    elif few:
+        behind = behind.join(F.broadcast(known), "key", "left").drop("key")
     where = F.when(F.col("place") != "stop", F.col("place")).when(F.col("short"), "unk").otherwise("beg")
-    flag = F.lit(0)
-    for name, uc, lc in (("beg", BEG_UC, BEG_LC), ("mid", MID_UC, MID_LC), ("unk", UNK_UC, UNK_LC)):
-        flag = F.when((where == name) & (F.col("letter") == "u"), uc).when((where == name) & (F.col("letter") == "l"), lc).otherwise(flag)
-    return counted.select("type", flag.alias("f"), "n").groupBy("type").agg(F.bit_or("f").alias("flags"), F.sum("n").alias("n"))
+    by = ["key"] if "key" in behind.columns else []
+    behind = behind.select("w", F.col("place") if by else where.alias("place"), *by)
+    letter = F.when((w >= "a") & (w < "{"), "l").when((w >= "A") & (w < "["), "u").when(w < "\x80", None).when(w.rlike(r"^\p{Lu}"), "u").when(w.rlike(r"^\p{Ll}"), "l")
+    counted = behind.groupBy("w", "place", *by).agg(F.count("*").alias("n")).select(_without_stop(F.lower("w")).alias("type"), letter.alias("letter"), "place", *by, "n").filter("letter is not null")
+    if by:
+        # A word not behind a stop gets a key that no abbreviation has, and not one for all.
+        counted = counted.withColumn("key", F.coalesce("key", F.concat(F.lit(" "), "type"))).join(known, "key", "left").withColumn("place", where)
+    case = F.when(F.col("letter") == "u", BEG_UC).otherwise(BEG_LC)
+    shift = F.when(F.col("place") == "beg", 1).when(F.col("place") == "mid", MID_UC // BEG_UC).otherwise(UNK_UC // BEG_UC)
+    return counted.select("type", (case * shift).alias("f"), "n").groupBy("type").agg(F.bit_or("f").alias("flags"), F.sum("n").alias("n"))
