@@ -18,8 +18,11 @@ _LOWER_START = r"(?U)(^|[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|\s)\p{Ll}"
 
 
 def sanitize(text: Column) -> Column:
-    """Curly quotes, and the entity of one, made straight."""
-    return F.replace(F.translate(text, "“”‘’", "\"\"''"), F.lit("&rsquo;"), F.lit("'"))
+    """Curly quotes, and the entity of one, made straight. A text without them is not
+    translated, which would look up each of its characters."""
+    curly = text.contains("“") | text.contains("”") | text.contains("‘") | text.contains("’")
+    straight = F.when(curly, F.translate(text, "“”‘’", "\"\"''")).otherwise(text)
+    return F.replace(straight, F.lit("&rsquo;"), F.lit("'"))
 
 
 def space_split(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """The tokenizer: white-space spans, each cut by affixes, split cases and contractions.
 
 ``tokens`` runs on distinct spans: spans repeat as words do, so the fold that cuts
-them works on the vocabulary and is joined back by span. Tokens are exploded by the outer
+them works on the vocabulary and is joined back by span. Spans of letters and digits,
+and those with one plain suffix behind, need no fold and stay where they are. Tokens are exploded by the outer
 form, for which the optimizer makes no filter on the array: such a filter would move
 below the distinct and run the fold on every occurrence. ``tokenize`` does the same
 for one text in an array column and suits streams.
@@ -36,10 +37,16 @@ class TokenizerConfig:
     #: Whether every affix and case holds an ASCII mark, so that letters and digits alone
     #: are never cut and a span has at most two cuts a mark.
     marked: bool = field(init=False)
+    #: Suffixes of one mark that, behind letters and digits, are the only cut of a span that
+    #: is not special: no prefix begins with a letter, no case and no longer suffix ends so.
+    plain: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
         object.__setattr__(self, "cases", (*self.split_cases, *self.contractions))
         object.__setattr__(self, "marked", all(any(c.isascii() and not c.isalnum() for c in x) for x in (*self.prefixes, *self.suffixes, *self.cases)))
+        cut = self.marked and self.unsplittable is None and not any(x[0].isalnum() or not x[0].isascii() for x in self.prefixes)
+        one = [x for x in self.suffixes if len(x) == 1 and not any(c.endswith(x) for c in (*self.suffixes, *self.cases) if c != x)]
+        object.__setattr__(self, "plain", tuple(one) if cut else ())
 
 
 def _any(word: Column, affixes: tuple[str, ...], has: Callable) -> Column:
@@ -101,6 +108,34 @@ def split_spans(found: DataFrame, config: TokenizerConfig = TokenizerConfig()) -
     return found.select("span").distinct().select("span", split_span(F.col("span"), config).alias("tokens"))
 
 
+def _class(chars: tuple[str, ...]) -> str:
+    return "[" + "".join(f"\\x{ord(c):02x}" for c in chars) + "]"
+
+
+def _whole(span: Column) -> Column:
+    """Whether a span is letters and digits alone."""
+    return span.rlike(r"^[\p{L}\p{N}]+\z")
+
+
+def _closed(span: Column, config: TokenizerConfig) -> Column:
+    out = F.lit(False)
+    for x in config.plain:
+        out = out | span.endswith(x)
+    return out
+
+
+def _cut_once(span: Column, config: TokenizerConfig) -> Column:
+    """Whether a span with a plain suffix has letters and digits before it and is not special."""
+    if not config.plain:
+        return F.lit(False)
+    return span.rlike(rf"^[\p{{L}}\p{{N}}]+{_class(config.plain)}\z") & ~T.is_special(span, config.emoticons, config.special)
+
+
+def _odd(clean: Column) -> Column:
+    """The spans of a text that are not letters and digits alone, as an array."""
+    return F.regexp_extract_all(clean, F.lit(r"(?U)(?<!\S)[\p{L}\p{N}]*+[^\p{L}\p{N}\s]\S*+"), F.lit(0))
+
+
 def tokens(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, span_pos, sub_pos, text) in order of (span_pos, sub_pos)."""
     found = spans(docs, config, id_col, text_col)
@@ -110,11 +145,23 @@ def tokens(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col:
 
 
 def tokens_per_text(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of texts with a token: spans are counted by document before they
-    meet their number of tokens, so a frequent span is one row a document."""
-    found = spans(docs, config, id_col, text_col).groupBy("doc_id", "span").agg(F.count("*").alias("n"))
-    sizes = split_spans(found, config).select("span", F.size("tokens").alias("size"))
-    return found.join(sizes, "span", "left").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("size")).alias("n_tokens")).filter("n_tokens > 0")
+    """(doc_id, n_tokens) of texts with a token: spans that need no fold are counted in
+    their text, all others by document before they meet their number of tokens, so a
+    frequent span is one row a document."""
+    clean = config.sanitizer(F.col(text_col)) if config.sanitizer else F.col(text_col)
+    if not config.marked:
+        found = spans(docs, config, id_col, text_col).withColumn("own", F.lit(0))
+    else:
+        # Every span that is not letters and digits alone, and a null that brings the number of all others.
+        parts = docs.select(F.col(id_col).alias("doc_id"), clean.alias("clean")).select("doc_id", F.size(T.space_split(F.col("clean"))).alias("n_spans"), _odd(F.col("clean")).alias("odd"))
+        span = F.col("span")
+        found = parts.select("doc_id", (F.col("n_spans") - F.size("odd")).alias("whole"), F.explode(F.array_append("odd", F.lit(None).cast("string"))).alias("span"))
+        own = F.when(span.isNull(), F.col("whole")).when(_closed(span, config) & _cut_once(span, config), 2)
+        found = found.withColumn("own", own).select("doc_id", F.when(F.col("own").isNull(), span).alias("span"), "own")
+    found = found.groupBy("doc_id", "span").agg(F.count("*").alias("n"), F.sum("own").alias("own"))
+    sizes = split_spans(found.filter("span is not null"), config).select("span", F.size("tokens").alias("size"))
+    n = F.when(F.col("span").isNull(), F.col("own")).otherwise(F.col("n") * F.col("size"))
+    return found.join(sizes, "span", "left").groupBy("doc_id").agg(F.sum(n).alias("n_tokens")).filter("n_tokens > 0")
 
 
 def alias_repeats(tagged: DataFrame, columns: tuple[str, ...] = ("tag", "label")) -> DataFrame:
