@@ -138,10 +138,21 @@ def _odd(clean: Column) -> Column:
 
 def tokens(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, span_pos, sub_pos, text) in order of (span_pos, sub_pos)."""
-    found = spans(docs, config, id_col, text_col)
-    cut = split_spans(found, config)
-    made = found.join(cut, "span", "left").select("doc_id", "span_pos", F.posexplode_outer("tokens").alias("sub_pos", "text"))
-    return made.filter("sub_pos is not null")
+    found, here = spans(docs, config, id_col, text_col), []
+    if config.marked:
+        span, size = F.col("span"), F.char_length("span")
+        closed, once = _closed(span, config), _cut_once(span, config)
+        two = F.array(F.left(span, size - 1), F.right(span, F.lit(1)))
+        here = [found.select("doc_id", "span_pos", F.posexplode(F.when(closed, F.when(once, two)).when(_whole(span), F.array(span))).alias("sub_pos", "text"))]
+        found = found.filter(F.when(closed, ~once).otherwise(~_whole(span)))
+        clean = config.sanitizer(F.col(text_col)) if config.sanitizer else F.col(text_col)
+        cut = split_spans(docs.select(F.explode(_odd(clean)).alias("span")).filter(~(closed & once)), config)
+    else:
+        cut = split_spans(found, config)
+    made = found.join(cut, "span", "left").select("doc_id", "span_pos", F.posexplode_outer("tokens").alias("sub_pos", "text")).filter("sub_pos is not null")
+    for more in here:
+        made = made.unionByName(more)
+    return made
 
 
 def tokens_per_text(docs: DataFrame, config: TokenizerConfig = TokenizerConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
