@@ -69,6 +69,17 @@ def test_words_are_counted_before_they_get_a_type(spark):
         assert any("lower(w" in x for x in lines[: first + 1]) and not any("lower(w" in x for x in lines[first + 1 :])
 
 
+def test_contexts_are_the_same_by_each_way(spark):
+    """A list, a few abbreviations met before the count and a table joined after it; a list
+    that is only met behind a stop."""
+    known = spark.createDataFrame([("c",)], "type string")
+    text = spark.range(1).select(F.lit("A b. C c. D? e c.) F \u00c9 \u00e9. g").alias("text"))
+    few, many, listed = (sorted(map(tuple, segment.ortho_contexts(text, x, few=y).collect())) for x, y in ((known, True), (known, False), (frozenset({"c"}), False)))
+    assert few == many == listed and ("d?", segment.UNK_UC, 1) in few and ("e", segment.BEG_LC, 1) in few
+    lines = segment.ortho_contexts(text)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("lambda" in x and "namedlambdavariable" in x and "struct" in x for x in lines) and any("arrays_zip" in x for x in lines)
+
+
 def test_punkt_training(spark):
     docs = spark.createDataFrame([("The firm Abco inc. is old. It sells xyz. abc. things to Abco inc. and others.",)] * 20, "text string")
     p = segment.train(docs)
